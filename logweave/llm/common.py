@@ -120,3 +120,42 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     sums = np.zeros(len(words) + 1, dtype=np.uint64)
     np.cumsum(words * up[: len(words)], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[:n])
+
+
+#: Ids that are broadcast at most (16 bytes each); more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def restrict(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``on`` is (``left_semi``) or isn't (``left_anti``) in ``keys``, materialised and unique.
+
+    The keys are counted first: few enough go to every task, so that wide rows stay where they are; else both shuffle.
+    """
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)
+
+
+def bytes_of(column) -> list[bytes]:
+    """An Arrow column of strings as UTF-8, null as empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+
+
+def ragged(parts: list[np.ndarray], kind=np.int64):
+    """An Arrow list array of NumPy arrays."""
+    import pyarrow as pa
+
+    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    flat = np.concatenate(parts) if parts else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind, copy=False)))
+
+
+def pieces(batches, budget: int = 4 << 20):
+    """Arrow batches cut to slices whose first text column has about ``budget`` bytes, so that output stays small."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            each = max(1, int(n * budget / max(1, batch.nbytes)))
+            for at in range(0, n, each):
+                yield batch.slice(at, each)
