@@ -24,7 +24,7 @@ from .merging import merge
 
 MARK = "▁"
 #: Prefixes and pairs that a worker remembers; beyond that it starts anew.
-PREFIXES, PAIRS = 600_000, 400_000
+PREFIXES, PAIRS = 800_000, 400_000
 
 
 class Counter:
@@ -44,6 +44,7 @@ class Counter:
         alone = "".join(c for c in "\n\t\r" if not any(c in p for p in long))
         self.chunks = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+" + (f"|[{re.escape(alone)}]" if alone else "")).findall
         self.table: dict[str, tuple[int, int]] = {}  # of each prefix of a chunk: count, length of the last token
+        self.totals: dict[str, int] = {}  # of whole chunks
         self.fits: dict[tuple[str, str], bool] = {}
 
     def rank(self, a: str, b: str) -> float | None:
@@ -60,36 +61,32 @@ class Counter:
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) >= PAIRS:
-                self.fits = {}
+                self.fits.clear()
             known = self.fits[a, b] = merge(a + b, self.rank) == ([a, b] if a else [b])
         return known
 
     def prefix(self, chunk: str) -> tuple[int, int]:
         """Count and last token's length of a chunk, from the table; fills in what is missing of its prefixes."""
-        table, scores, n = self.table, self.scores, len(chunk)
-        start = n
+        table, scores, fits, n = self.table, self.scores, self.fits, len(chunk)
+        if chunk in table:
+            return table[chunk]
+        start = n - 1
         while start and chunk[:start] not in table:
             start -= 1
-        last = [0] * (n + 1)
-        count = [0] * (n + 1)
-        if start:
-            # the walk back over last tokens needs entries of shorter prefixes only
-            for i in range(1, start + 1):
-                count[i], last[i] = table[chunk[:i]]
+        made = (0, 0)
         for i in range(start + 1, n + 1):
-            for size in range(min(i, self.longest), 0, -1):
-                token = chunk[i - size : i]
-                if size > 1 and token not in scores:
+            for at in range(max(0, i - self.longest), i):
+                token = chunk[at:i]
+                if token not in scores and at < i - 1:
                     continue
-                at = i - size
-                if at:
-                    if self.compatible(chunk[at - last[at] : at], token):
-                        break
-                elif size == 1 or self.compatible("", token):
+                done, last = table[chunk[:at]] if at else (0, 0)
+                before = chunk[at - last : at]
+                fit = fits.get((before, token))
+                if fit or fit is None and self.compatible(before, token):
                     break
-            count[i], last[i] = count[at] + self.width(token), size
-            table[chunk[:i]] = count[i], size
-        return count[n], last[n]
+            made = done + self.width(token), i - at
+            table[chunk[:i]] = made
+        return made
 
     def counts(self, chunk: str) -> list[int]:
         """The count at every prefix of a chunk, from one character on."""
@@ -117,9 +114,10 @@ class Counter:
         """Each text's count, and the length of its longest prefix within the limit."""
         split = [self.split(t) for t in texts]
         if len(self.table) > PREFIXES:
-            self.table = {}
-        totals = {c: self.total(c) for c in set().union(*split)} if split else {}
-        get = totals.__getitem__
+            self.table, self.totals = {}, {}
+        for chunk in set().union(*split) - self.totals.keys() if split else ():
+            self.totals[chunk] = self.total(chunk)
+        get = self.totals.__getitem__
         counts, fit = [], []
         for text, chunks in zip(texts, split, strict=True):
             n = sum(map(get, chunks))
