@@ -163,6 +163,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     with special tokens kept. A null text is empty: no ids, decoded to an empty text. Ids of rows may be null or repeat.
     """
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(id_col).alias("doc_id"), *keep)
+    names = rows.columns[1:]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
 
     def run(batches: Iterator) -> Iterator:
@@ -175,6 +176,6 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
             decoded = pa.array([own.decode(x) for x in ids], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], [*rows.columns[1:], "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], [*names, "ids", "decoded"])
 
     return rows.mapInArrow(run, f"{kinds}, ids array<int>, decoded string")
