@@ -37,7 +37,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         return ids.select("id", F.col("id").alias("component"))
     roots = maps.pop()
     while maps:
-        step, later = maps.pop(), roots.withColumnsRenamed({"u": "m", "m": "root"})
+        step, later = maps.pop(), roots.select(F.col("u").alias("m"), F.col("m").alias("root"))
         roots = step.join(later, "m", "left").select("u", F.coalesce("root", "m").alias("m"))
     placed = cut(ids.join(roots, "u").select("id", F.col("m").alias("root")))
     return placed.join(placed.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
