@@ -78,7 +78,7 @@ class _Powers:
 _BYTES, _WORDS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD1342543DE82EF95)
 
 
-def _hash_block(raw: bytes) -> np.ndarray:
+def _hash_block(raw: bytes, head: int | None = None) -> np.ndarray:
     b = np.frombuffer(raw, dtype=np.uint8)
     if not len(b):
         return np.empty(0, dtype=np.uint64)
@@ -86,21 +86,24 @@ def _hash_block(raw: bytes) -> np.ndarray:
     gap[1:-1] = _SEPARATOR[b]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edges[::2], edges[1::2]
+    if head:
+        starts = starts[ends - starts > head]
+        ends = starts + head
     up, down = _BYTES.get(len(b) + 1)
     sums = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum((b + _U(1)) * up[: len(b)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a UTF-8 text, in order."""
+def word_hashes(raw: bytes, head: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word of a UTF-8 text, in order; with ``head``, of the first bytes of each longer word."""
     if len(raw) <= _BLOCK:
-        return _hash_block(raw)
+        return _hash_block(raw, head)
     parts, at = [], 0
     while at < len(raw):
         found = _SEPARATOR_RE.search(raw, at + _BLOCK)
         end = found.start() if found else len(raw)
-        parts.append(_hash_block(raw[at:end]))
+        parts.append(_hash_block(raw[at:end], head))
         at = end
     return np.concatenate(parts)
 
