@@ -24,7 +24,7 @@ def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are more likely toxic than not, by a model fitted on labelled ones."""
+    """Drops toxic documents, by a model fitted on labelled ones."""
     model = severity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return severity.toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).filter("kept").select(*docs.columns)
 

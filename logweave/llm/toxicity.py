@@ -19,6 +19,10 @@ from .common import bytes_of, mix, pieces, ragged, word_hashes
 
 #: Labelled documents that the model is fitted on at most, features it has at most, and the highest grade.
 SAMPLE, VOCABULARY, GRADES = 6_000, 20_000, 3
+#: P(grade >= 1) from which a document is toxic: clean documents stay below half of it in held-out tests.
+THRESHOLD = 0.2
+#: Nats that a feature must gain, so that chance finds of rare words stay out; so many of the best are in anyway.
+GAIN, ANYWAY = 8.0, 100
 HEADS = (4, 6)  # bytes of a longer word's beginning that are features
 _PUNCTUATION = bytes(c if c < 128 and chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -60,8 +64,9 @@ def _vocabulary(docs: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
     gain = part(k, n * t / total) + part(n - k, n * (total - t) / total) + part(t - k, (total - n) * t / total) + part(total - t - n + k, (total - n) * (total - t) / total)
     enough = np.flatnonzero(n >= (3 if total >= 1000 else 2))
-    best = enough[np.argsort(-gain[enough], kind="stable")[:VOCABULARY]]
-    return np.sort(every[best])
+    ranked = enough[np.argsort(-gain[enough], kind="stable")[:VOCABULARY]]
+    clear = int((gain[ranked] >= GAIN).sum())
+    return np.sort(every[ranked[: max(clear, ANYWAY)]])
 
 
 def fit(docs: list[np.ndarray], grades: np.ndarray, steps: int = 300, penalty: float = 2e-4) -> Model:
@@ -152,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(found, severity_grades(found, toxic))
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, ``keep`` columns, severity, grade, p_toxic, toxic, kept.
 
     ``severity`` is the expected grade, ``grade`` the most probable one, ``p_toxic`` P(grade >= 1); ``toxic`` and not
