@@ -4,7 +4,8 @@ Windows are compared at half the length first, then at the full length, and only
 length below the full one, not every position is needed: among the shorter windows inside a full window, the one with
 the smallest hash is its anchor. Equal windows have equal anchors, so a full window whose anchors don't all occur in a
 second document can't either, and only about two in ``window - length`` positions are ever shuffled. Hash counts are
-added up on the map side, so a passage that every document has sends one row from each task.
+added up on the map side, so a passage that every document has sends one row from each task. Documents that have the
+words of a smaller id in full are set apart before.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, mix, pieces, restrict, window_hashes, word_hashes
+from .common import BROADCAST_IDS, SPACE, bytes_of, cut, mix, pieces, restrict, window_hashes, word_count, word_hashes
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -77,8 +78,10 @@ def _level(docs: DataFrame, length: int, window: int, before: int | None) -> Dat
 
 def _lists(rows: DataFrame, repeated_only: bool) -> DataFrame:
     """(doc_id, hashes): windows that occur in two documents, or else those that a smaller id has."""
-    owners = rows.groupBy("h", "g").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    found = rows.join(owners, ["h", "g"])
+    key = ["h"] if repeated_only else ["h", "g"]
+    rows = rows.select(*key, "doc_id")
+    owners = rows.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    found = rows.join(owners, key)
     if not repeated_only:
         found = found.filter("doc_id > low")
     return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hashes")))
@@ -120,8 +123,16 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     between rows with one id stay. A row without an id neither loses words nor makes others lose them. Other columns
     are ignored; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named = texts.filter(F.col("doc_id").isNotNull())
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " "))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(bare)).alias("words"))
+    # a document with the words of a smaller id loses them all, and what it has, that one has: it needs no comparison
+    owners = cut(texts.groupBy("words").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").drop("high"))
+    owned = texts.join(F.broadcast(owners) if owners.count() <= BROADCAST_IDS else owners, "words", "left")
+    copies = owned.filter("doc_id > low").select("doc_id", word_count(F.col("text")).alias("n_words"), F.trim(F.regexp_replace("text", SPACE + "+", " ")).alias("bare"))
+    gone = F.col("n_words") >= window
+    copies = copies.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, "").otherwise(F.coalesce("bare", F.lit(""))).alias("kept_text"))
+    fresh = owned.filter("doc_id IS NULL OR low IS NULL OR doc_id <= low").select("doc_id", "text")
+    named = fresh.filter(F.col("doc_id").isNotNull())
     lists: DataFrame | None = None
     before = None
     for length in levels(window):
@@ -131,5 +142,5 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     ids = lists.select("doc_id")
     hit = restrict(named, ids, "doc_id").join(lists, "doc_id").select("doc_id", "text", "hashes")
     # left_anti also keeps rows without an id
-    clear = restrict(texts, ids, "doc_id", "left_anti").withColumn("hashes", F.lit(None).cast("array<long>"))
-    return _strip(hit, window).unionByName(_strip(clear, window))
+    clear = restrict(fresh, ids, "doc_id", "left_anti").withColumn("hashes", F.lit(None).cast("array<long>"))
+    return _strip(hit, window).unionByName(_strip(clear, window)).unionByName(copies)
