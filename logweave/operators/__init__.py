@@ -1,0 +1 @@
+"""Relational operators of the engine: matching, grouping, splitting, extraction, merging, scoring."""

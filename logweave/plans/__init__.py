@@ -1,0 +1 @@
+"""Whole plans: mining, evaluation, configuration."""
