@@ -1,0 +1 @@
+"""Continuous input: chunked mining of a stream, and the online engine with keyed state."""
