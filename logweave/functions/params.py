@@ -52,6 +52,22 @@ def template_pattern(template: str, rules: Sequence[MaskRule], prefix: str, suff
     return "^" + re.sub(r"\\ ", r"\\s+", out + re.escape(template[at:])) + "$", names
 
 
+@lru_cache(CACHE)
+def _compiled(template: str, rules: tuple[MaskRule, ...], prefix: str, suffix: str, exact: bool) -> tuple[re.Pattern, dict[str, str]]:
+    pattern, names = template_pattern(template, rules, prefix, suffix, exact)
+    return re.compile(pattern), names
+
+
+def _values(template: str | None, content: str | None, rules: tuple[MaskRule, ...], prefix: str, suffix: str, exact: bool, delimiters: Sequence[str]) -> list[dict] | None:
+    if template is None or content is None:
+        return None
+    for d in delimiters:
+        content = re.sub(d, " ", content)
+    pattern, names = _compiled(template, rules, prefix, suffix, exact)
+    m = pattern.match(content)
+    return [{"value": v, "mask_name": names[g]} for g, v in m.groupdict().items() if g in names] if m else None
+
+
 def extract_parameters(lines: DataFrame, masker: Masker, exact: bool = True, delimiters: Sequence[str] = (), template_col: str = "template", content_col: str = "content", out_col: str = "parameters") -> DataFrame:
     """``lines`` with the values of each line's template in order, as array<struct<value, mask_name>>.
 
@@ -61,31 +77,17 @@ def extract_parameters(lines: DataFrame, masker: Masker, exact: bool = True, del
     rules = tuple(r for r in masker.rules if isinstance(r, MaskRule))
     prefix, suffix = masker.prefix, masker.suffix
 
-    @lru_cache(CACHE)
-    def compiled(template: str):
-        pattern, names = template_pattern(template, rules, prefix, suffix, exact)
-        return re.compile(pattern), names
-
-    def one(template: str | None, content: str | None):
-        if template is None or content is None:
-            return None
-        for d in delimiters:
-            content = re.sub(d, " ", content)
-        pattern, names = compiled(template)
-        m = pattern.match(content)
-        return m and [{"value": v, "mask_name": names[g]} for g, v in m.groupdict().items() if g in names]
-
-    def run(templates: Iterator) -> Iterator:
-        import pandas as pd
-
-        for t, c in templates:
-            yield pd.Series([one(a, b) for a, b in zip(t, c, strict=True)])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    from pyspark.sql.functions import pandas_udf
+        kind = pa.list_(pa.struct([("value", pa.string()), ("mask_name", pa.string())]))
+        for batch in batches:
+            pairs = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (template_col, content_col)), strict=True)
+            made = [_values(t, c, rules, prefix, suffix, exact, delimiters) for t, c in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*batch.schema.names, out_col])
 
-    run.__annotations__ = {}
-    values = pandas_udf(run, PARAMETERS, functionType=F.PandasUDFType.SCALAR_ITER)
-    return lines.withColumn(out_col, values(F.col(template_col), F.col(content_col)))
+    schema = ", ".join(f"`{n}` {k}" for n, k in lines.dtypes)
+    return lines.mapInArrow(run, f"{schema}, `{out_col}` {PARAMETERS}")
 
 
 def parameter_list(lines: DataFrame, masker: Masker, **options) -> DataFrame:

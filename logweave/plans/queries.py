@@ -196,7 +196,7 @@ def unmatched_contents(spark, sf_dir):
     return left.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_contents"))
 
 
-@query(f"{_MATCHES} SELECT l.log_index, h.template_id, 1.0::DOUBLE AS similarity FROM lines l JOIN hit h USING (content)")
+@query(f"{_WITH}, {_POS}, {_TEMPLATES} SELECT log_index, n AS template_id, 1.0::DOUBLE AS similarity FROM tok JOIN tpl USING (n)")
 def online_match(spark, sf_dir):
     from ..streaming.online import match_online
 
