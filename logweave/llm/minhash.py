@@ -8,8 +8,8 @@ One pass over the texts gives each document its set of word shingles as 64-bit h
    corrected for chance collisions, with a margin of six standard deviations;
 3. what is left is confirmed on the full sets.
 
-All pairs of a bucket are only made where that is about linear. Otherwise each bucket's members are compared with one
-leader, components are computed, and members already connected to the leader need no further comparison; that repeats
+All pairs of a bucket are only made where that is about linear. Otherwise each bucket's members are compared with a few
+leaders, components are computed, and members already connected to one need no further comparison with it; that repeats
 with other leaders until the pairs between *different* components are few, and then all of those are compared. So no
 link is lost, and a group of n near copies costs a small multiple of n.
 """
@@ -29,8 +29,9 @@ from .components import connected_components
 BITS = 4  # kept of each minimum
 ROWS = 6  # minima in a band's key
 MISS = 1e-6  # chance that a pair at the threshold shares no band
-#: Pairs that are made outright, as a multiple of the bucket rows, and rounds of leaders before they are made anyway.
-OUTRIGHT, ROUNDS = 4, 8
+#: Pairs that are made outright, as a multiple of the bucket rows; rounds of leaders before they are made anyway, and
+#: leaders of a bucket in each round.
+OUTRIGHT, ROUNDS, LEADERS = 4, 3, 8
 
 
 def bands_for(threshold: float) -> int:
@@ -171,44 +172,52 @@ def links_of(live: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, p
     """(id, component) of the linked representatives. live: (id, key) of buckets with several."""
     ids = cut(live.select(F.col("id").alias("doc_id")).distinct())
     sets = cut(full_sets(restrict(texts, ids, "doc_id"), shingle)).select(F.col("doc_id").alias("id"), "members").filter(F.size("members") > 0)
-    light = cut(restrict(reps.select("id", "n", "planes"), ids.select(F.col("doc_id").alias("id")), "id"))
+    live = cut(live.join(reps.select("id", "n", "planes"), "id"))
     low = percent / 100 - margin(percent / 100, bands)
 
     def side(df: DataFrame, x: str) -> DataFrame:
         return df.select(*[F.col(c).alias(x if c == "id" else f"{c}_{x}") for c in df.columns])
 
+    def near(x: DataFrame, y: DataFrame, once: bool) -> DataFrame:
+        """(a, b): members of one bucket and of different components that sizes and packed bits don't rule out.
+
+        The tests are part of the join's condition, so pairs that fail them never leave it.
+        """
+        x = x.select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "planes")])
+        y = y.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "n", "planes")])
+        sizes = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+        apart = F.col("component_x") < F.col("component_y") if once else F.col("component_x") != F.col("component_y")
+        pairs = x.join(y, "key").filter(apart & sizes & (estimate(F.col("planes_x"), F.col("planes_y"), bands) >= low))
+        return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        rated = pairs.join(side(light, "a"), "a").join(side(light, "b"), "b")
-        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        rated = cut(rated.filter(sizes & (estimate(F.col("planes_a"), F.col("planes_b"), bands) >= low)).select("a", "b"))
+        rated = cut(pairs.distinct())
         full = rated.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
         common = F.size(F.array_intersect("members_a", "members_b"))
         full = full.select("a", "b", common.alias("common"), (F.size("members_a") + F.size("members_b") - common).alias("union"))
         return cut(full.filter(F.col("common") * 100 >= F.col("union") * percent).select("a", "b").distinct())
 
-    def ordered(x: str, y: str) -> list[Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
     state = live.withColumn("component", F.col("id"))
     most = OUTRIGHT * live.count()
     links: DataFrame | None = None
     labels = state.select("id", "component").limit(0)
+    before = math.inf
     for turn in range(ROUNDS + 1):
         per = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         left = per.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
         if not left:
             break
-        last = left <= most or turn == ROUNDS
+        # leaders no longer help if the last ones left most pairs: those aren't linked, and have to be compared
+        last = left <= most or left > before / 2 or turn == ROUNDS
+        before = left
         if last:
-            x, y = (state.select("key", F.col("id").alias(i), F.col("component").alias(f"c_{i}")) for i in "xy")
-            pairs = x.join(y, "key").filter("c_x < c_y")
+            leaders = state
         else:
-            # another leader each time: the smallest id first, then a member chosen by hash
-            order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id", "key")
-            leaders = state.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("x"), F.col("component").alias("c_x"))).alias("l")).select("key", "l.x", "l.c_x")
-            pairs = state.join(leaders, "key").filter("c_x <> component").withColumnRenamed("id", "y")
-        found = confirmed(pairs.select(*ordered("x", "y")))
+            # other leaders each time; they go by hash of the id alone, so a group has the same ones in all its buckets
+            order = F.xxhash64(F.lit(turn), "id")
+            some = state.groupBy("key", F.pmod(order, F.lit(LEADERS)).alias("_class")).agg(F.min(order).alias("o")).select("key", "o")
+            leaders = state.withColumn("o", order).join(some, ["key", "o"])
+        found = confirmed(near(leaders, state, once=last))
         links = found if links is None else links.unionByName(found)
         labels = cut(connected_components(links))
         if last:
