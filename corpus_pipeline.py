@@ -26,7 +26,8 @@ def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents, by a model fitted on labelled ones."""
     model = severity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return severity.toxicity(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).filter("kept").select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))  # its names can't clash with the verdict's
+    return severity.toxicity(packed, model, keep=("_row",)).filter("kept").select("_row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
