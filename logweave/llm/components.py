@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import shared_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. A checkpoint would do, but hands on what is known of its plan, and over
+    the rounds of a loop the time to plan doubles each time."""
+    path = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _shuffled(x: Column) -> Column:
