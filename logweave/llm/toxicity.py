@@ -111,7 +111,7 @@ def fit(docs: list[np.ndarray], grades: np.ndarray, steps: int = 300, penalty: f
 def severity_grades(docs: list[np.ndarray], toxic: np.ndarray, top: int = GRADES) -> np.ndarray:
     """Grades from yes-or-no labels: 0 if clean, else 1 to ``top`` by how many of its features no clean document has.
 
-    Counted among features that several toxic documents share; cut at quantiles, so each grade has documents.
+    Counted among features that several toxic documents share and cut at quantiles; with many ties a grade may stay empty.
     """
     grades = np.zeros(len(docs), dtype=np.int64)
     bad = np.flatnonzero(toxic)

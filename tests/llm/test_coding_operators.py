@@ -154,7 +154,7 @@ def test_pipeline(spark, tmp_path):
     def text():
         return " ".join(f"w{rng.randrange(400)}" for _ in range(60))
 
-    docs = [(i, text() + (" scum idiot" if i % 7 == 0 else "")) for i in range(200)]
+    docs = [(i, text() + (" scum idiot vile trash" if i % 7 == 0 else "")) for i in range(200)]
     docs += [(300 + i, docs[1][1] + " " * i) for i in range(3)] + [(310, docs[2][1] + " end"), (320, None), (321, ""), (None, text()), (3, docs[3][1])]
     rows = [(d, t, "en", ["a", "b", None][i % 3], len(t or ""), "extra") for i, (d, t) in enumerate(docs)]
     table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
