@@ -1,86 +1,82 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-Equal vectors of a label collapse first (on the map side too). In each pass every distinct vector gets a string of
-hash bits, the sides of random hyperplanes it is on; vectors are ordered by label and that string, and each is compared
-with its next neighbours in the order. Pairs with the cosine asked for are united across passes. A pass numbers the
-sorted rows without collecting them and deals them out in blocks of equal size, each with the first rows of the next
-block, so no task holds more than a block whatever the sizes of labels and groups.
+"""Near-duplicate vectors by comparing all pairs of a label, in blocks.
+
+Equal vectors of a label collapse first (on the map side too). Distinct vectors are ordered by label and numbered
+without collecting them; blocks of equal size are cut from the order, and every two blocks that share a label (and each
+block with itself) are compared in one task, as matrix products of tiles. So no task holds more than two blocks,
+whatever the sizes of labels and groups, and no pair is left out. A task gives a count and a link for each row at most,
+not the pairs: what is written grows with the number of blocks of a label, while the products grow with the square of
+a label's size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, ragged
+from .common import cut
 from .components import connected_components
 
-#: Passes, neighbours compared in each, rows of a block.
-PASSES, NEIGHBOURS, BLOCK = 16, 128, 2048
-
+#: Rows of a block, and of a tile of a product.
+BLOCK, TILE = 4096, 1024
 
-def _matrix(column) -> list[np.ndarray]:
-    return [np.asarray(x.values, dtype=np.float64) for x in column]
 
+def _unite(roots: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``roots`` (the first row of each row's component) after the links (i, j)."""
+    while True:
+        a, b = roots[i], roots[j]
+        open_ = a != b
+        if not open_.any():
+            return roots
+        i, j, a, b = i[open_], j[open_], a[open_], b[open_]
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while (up := roots[roots]).tolist() != roots.tolist():
+            roots = up
 
-def _keys(reps: DataFrame, passes: int, seed: int) -> DataFrame:
-    """(rep, label, width, keys): a 63-bit string of hyperplane sides for each pass, the first bits highest."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        planes: dict[int, np.ndarray] = {}
-        weights = np.int64(1) << np.arange(62, -1, -1, dtype=np.int64)
-        for batch in pieces(batches):
-            keys, widths = [], []
-            for v in _matrix(batch.column(2)):
-                d = len(v)
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((passes * 63, d))
-                keys.append(((planes[d] @ v > 0).reshape(passes, 63) * weights).sum(axis=1))
-                widths.append(d)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(widths, pa.int32()), ragged(keys)], ["rep", "label", "width", "keys"])
 
-    return reps.select("rep", "label", "vector").mapInArrow(run, f"rep long, label {reps.schema['label'].dataType.simpleString()}, width int, keys array<long>")
+def _compare(rows: DataFrame, cosine: float) -> DataFrame:
+    """(place, root, near) of rows (lo, hi, block, place, label, width, copies, vector), by pair of blocks (lo, hi).
 
-
-def _compare(rows: DataFrame, cosine: float, neighbours: int) -> DataFrame:
-    """(a, b, label) of rows (block, place, pass, label, width, rep, vector), by block."""
-    kind = rows.schema["label"].dataType.simpleString()
+    For each row with links: the first row it is connected with in this pair, and the copies it is linked with.
+    """
 
     def run(table):
         import pyarrow as pa
 
         table = table.sort_by("place")
-        reps = table.column("rep").to_numpy()
+        place, block, copies = (table.column(c).to_numpy() for c in ("place", "block", "copies"))
         labels = np.unique(table.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
-        groups = np.stack([table.column("pass").to_numpy(), labels, table.column("width").to_numpy()])
-        out = []
+        groups = np.stack([labels, table.column("width").to_numpy()])
         change = np.flatnonzero(np.any(groups[:, 1:] != groups[:, :-1], axis=0)) + 1
         flat = table.column("vector").combine_chunks()
-        for lo, hi in zip([0, *change], [*change, len(reps)], strict=True):
+        near, roots = np.zeros(len(place)), np.arange(len(place))
+        # two blocks share one label at most, and only rows of both are compared
+        across = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+        for lo, hi in zip([0, *change], [*change, len(place)], strict=True):
             if hi - lo < 2:
                 continue
-            x = np.stack([np.asarray(v.values, dtype=np.float64) for v in flat[lo:hi]])
+            x = flat[lo:hi].flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
             norms = np.sqrt((x * x).sum(axis=1))
-            for k in range(1, min(neighbours, hi - lo - 1) + 1):
-                hit = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= cosine * (norms[:-k] * norms[k:])) + lo
-                if len(hit):
-                    out.append(np.stack([reps[hit], reps[hit + k]]))
-        pairs = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=np.int64)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
-
-    return rows.groupBy("block").applyInArrow(run, "a long, b long")
-
-
-def embed_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", passes: int = PASSES, neighbours: int = NEIGHBOURS, seed: int = 7) -> DataFrame:
+            for p in range(0, across or hi - lo, TILE):
+                end = min(p + TILE, across or hi - lo)
+                for q in range(across or p, hi - lo, TILE):
+                    hit = x[p:end] @ x[q : q + TILE].T >= cosine * np.outer(norms[p:end], norms[q : q + TILE])
+                    i, j = np.nonzero(np.triu(hit, 1) if p == q else hit)
+                    if len(i):
+                        i, j = i + lo + p, j + lo + q
+                        near += np.bincount(i, copies[j], len(near)) + np.bincount(j, copies[i], len(near))
+                        roots = _unite(roots, i, j)
+        found = np.flatnonzero(near)
+        return pa.table({"place": place[found], "root": place[roots[found]], "near": near[found].astype(np.int64)})
+
+    return rows.groupBy("lo", "hi").applyInArrow(run, "place long, root long, near long")
+
+
+def embed_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
-    Vectors are linked if their labels are equal, their cosine (in doubles) is at least ``cosine`` and a pass finds
-    them; copies always are. ``n_links`` counts other rows, ``component_id`` is the smallest id reachable, ``kept``
+    Vectors are linked if their labels are equal and their cosine (in doubles) is at least ``cosine``; copies always
+    are. ``n_links`` counts other rows, ``component_id`` is the smallest id reachable, ``kept``
     whether it is the row's own. Null labels, null or zero vectors and those with null or non-finite components link
     with nothing; nor do vectors of different lengths. Vectors that differ only in length of the same direction are not
     copies but have cosine 1. A row without an id takes the class of its copies and doesn't count as a link. An empty
@@ -94,26 +90,27 @@ def embed_dedup(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id"
     groups = cut(rows.filter("vector IS NOT NULL").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("vec_id").alias("copies")))
     reps = groups.filter("rep IS NOT NULL")
 
-    keys = cut(_keys(reps, passes, seed))
-    listed = keys.select("rep", "label", "width", F.posexplode("keys").alias("pass", "key"))
     # numbered by position: the partition's rows so far come from the counts of all partitions before it
-    ordered = listed.orderBy("pass", "label", "width", "key", "rep").select("pass", "label", "width", "rep", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
-    ordered = cut(ordered)
+    ordered = reps.withColumn("width", F.size("vector")).orderBy("label", "width", "rep")
+    ordered = cut(ordered.select("label", "width", "rep", "copies", "vector", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")))
     starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("first"))
     starts = starts.withColumn("start", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ordered.join(F.broadcast(starts.select("part", "first", "start")), "part").withColumn("place", F.col("start") + F.col("n") - F.col("first"))
-    block = F.floor(F.col("place") / BLOCK).cast("long")
-    blocks = F.when((F.col("place") % BLOCK < neighbours) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
-    placed = placed.select("pass", "label", "width", "rep", "place", F.explode(blocks).alias("block"))
-    dealt = placed.join(reps.select("rep", "vector"), "rep")
-    links = cut(_compare(dealt, cosine, neighbours).filter("a <> b").distinct())
-
-    labels = connected_components(links).withColumnRenamed("id", "rep")
-    copies = reps.select("rep", "copies")
-    ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    counts = ends.join(copies.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("copies").alias("near"))
-    known = groups.join(counts, "rep", "left").join(labels, "rep", "left")
-    known = known.select(F.col("label").alias("_l"), F.col("vector").alias("_v"), "rep", (F.col("copies") + F.coalesce("near", F.lit(0))).alias("reached"), F.coalesce("component", "rep").alias("component"))
+    placed = placed.withColumn("block", F.floor(F.col("place") / BLOCK).cast("long"))
+    # the labels of more than one block, fewer than there are blocks
+    long = placed.groupBy("label", "width").agg(F.min("block").alias("from"), F.max("block").alias("to")).filter("from < to")
+    spread = placed.join(F.broadcast(long), ["label", "width"], "left").withColumn("other", F.explode(F.sequence(F.coalesce("from", "block"), F.coalesce("to", "block"))))
+    dealt = spread.select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "place", "label", "width", "copies", "vector")
+    met = cut(_compare(dealt, cosine))
+
+    # rows of a component have one label, so its first place has its smallest id
+    places = placed.select("place", "rep")
+    labels = connected_components(met.filter("place <> root"), "place", "root").withColumnRenamed("id", "place")
+    labels = labels.join(places.select(F.col("place").alias("component"), F.col("rep").alias("smallest")), "component").select("place", F.col("smallest").alias("component"))
+    counts = met.groupBy("place").agg(F.sum("near").alias("near"))
+    known = placed.join(counts, "place", "left").join(labels, "place", "left").select("label", "vector", "rep", "copies", "near", "component")
+    known = known.unionByName(groups.filter("rep IS NULL"), allowMissingColumns=True)
+    known = known.select(F.col("label").alias("_l"), F.col("vector").alias("_v"), (F.col("copies") + F.coalesce("near", F.lit(0))).alias("reached"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(known, (F.col("label") == F.col("_l")) & (F.col("vector") == F.col("_v")), "left")
     component = F.coalesce("component", "vec_id")
     own = F.when(F.col("vec_id").isNotNull(), 1).otherwise(0)

@@ -146,6 +146,26 @@ def test_embed_dedup(spark):
     assert embed_dedup.embed_dedup(table.limit(0)).count() == 0
 
 
+def test_embed_dedup_of_large_groups(spark, monkeypatch):
+    """All links of near-copy groups and labels much larger than a block."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 700, raising=False)
+    monkeypatch.setattr(embed_dedup, "TILE", 300, raising=False)
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((2, 64))
+    near = [c + rng.standard_normal((n, 64)) * s for c, n, s in zip(centres, (3000, 900), (0.12, 0.02), strict=True)]
+    x = np.concatenate([*near, rng.standard_normal((600, 64))]).astype(np.float32)
+    label = np.array([1] * 3000 + [2] * 900 + [1] * 300 + [3] * 300)
+    rows = [(int(i), int(label[i]), x[i].tolist()) for i in rng.permutation(len(x))]
+    got = {r.vec_id: r for r in embed_dedup.embed_dedup(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")).collect()}
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hit = (unit @ unit.T >= 0.98) & (label[:, None] == label)
+    links, root = hit.sum(axis=1) - 1, np.arange(len(x))
+    while (up := np.where(hit, root, len(x)).min(axis=1)).tolist() != root.tolist():
+        root = up
+    assert links.sum() > 4_000_000 and [got[i].n_links for i in range(len(x))] == links.tolist()
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
