@@ -285,6 +285,22 @@ def extract_parameters(spark, sf_dir):
     return params.parameter_list(rows, masking.Masker([])).select("log_index", F.array_join("parameters", "|").alias("values"))
 
 
+_VALUES = {
+    "0": ("^user\\s+(.+?)\\s+action\\s+(.+?)\\s+took\\s+(.+?)\\s+ms$", 3),
+    "1": ("^Received\\s+block\\s+(.+?)\\s+of\\s+size\\s+(.+?)\\s+from\\s+(.+?)$", 3),
+    "2": ("^Connection\\s+closed\\s+by\\s+(.+?)\\s+\\[preauth\\]$", 1),
+    "3": ("^session\\s+(?:opened|closed)\\s+for\\s+user\\s+(.+?)$", 1),
+}
+_VALUES_OF_SHAPE = " ".join(f"WHEN {shape} THEN " + " || '|' || ".join(f"regexp_extract(content, '{pattern}', {i + 1})" for i in range(n)) for shape, (pattern, n) in _VALUES.items())
+
+
+@query(f"WITH {_LINES} SELECT log_index, CASE event_id % 4 {_VALUES_OF_SHAPE} END AS \"values\" FROM lines")
+def extract_parameters_all(spark, sf_dir):
+    """The same over lines of every shape, each by its own template."""
+    rows = lines(spark, sf_dir).select("log_index", "content", F.col("truth").alias("template"))
+    return params.parameter_list(rows, masking.Masker([])).select("log_index", F.array_join("parameters", "|").alias("values"))
+
+
 @query(f"{_WITH}, terms AS (SELECT n AS id, unnest(tt) AS term FROM tpl), tf AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), raw AS (SELECT id, term, tf * (ln((1 + (SELECT count(DISTINCT id) FROM terms)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)) SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM raw".replace(_TOKENS, f"{_TOKENS}, {_POS}, {_TEMPLATES}"))
 def term_weights(spark, sf_dir):
     t = settle(_known(spark, sf_dir)).select(F.col("template_id").alias("id"), T.words(F.col("template")).alias("tokens"))

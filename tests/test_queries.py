@@ -27,3 +27,9 @@ def test_query(spark, name):
         at = [x[0] for x in cursor.description]
         assert sorted(at) == columns
         assert plain(rows) == plain(tuple(r[at.index(c)] for c in columns) for r in cursor.fetchall())
+
+
+def test_parameters_of_all_lines(spark):
+    rows = QUERIES["extract_parameters_all"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/events.parquet").count() and all(r["values"] for r in rows)
+    assert {r["values"].count("|") for r in rows if r.log_index % 4 < 2} == {2} and not any("|" in r["values"] for r in rows if r.log_index % 4 > 1)
