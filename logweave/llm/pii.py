@@ -23,7 +23,8 @@ PATTERNS = {
     # only runs of 14 to 19 digits: shorter and longer runs fail in any case
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the start only, with what may follow it in group 1: a letter or digit behind the longest run as well
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?+[A-Z0-9]){11,30}+[A-Za-z0-9]?+))",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A cheap test that a text must pass before its pattern runs.
@@ -35,6 +36,13 @@ _NEEDS = {
     "iban": lambda t: t.rlike(r"[A-Z][A-Z][0-9][0-9]"),
     "ssn": lambda t: t.rlike(r"[0-9]-[0-9]"),
 }
+#: Characters of an IBAN by country.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 #: What a confirmed span scores before its surroundings are read, and the words that raise it by 0.3.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
 CONTEXT = {
@@ -80,22 +88,45 @@ _VALID = {
     "ip": lambda m: m.rlike(_IP),
     "card": lambda m: luhn(_digits(m)),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
-    "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & mod97(m),
+    "iban": lambda m: F.length(F.replace(m, F.lit(" "), F.lit(""))).between(15, 34) & ~m.rlike("[a-z]") & mod97(m),
     "ssn": lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"),
 }
 
 
+def iban_length(run: Column) -> Column:
+    """The length of the IBAN that ``run`` starts with, 0 if there is none.
+
+    It may end before a blank or with the run. A known country's has that country's length, or is the whole run; any
+    other is the longest that passes.
+    """
+    bare = lambda m: F.length(F.replace(m, F.lit(" "), F.lit("")))
+    country = F.substring(run, 1, 2)
+    chars = reduce(lambda rest, n: F.when(country.isin(IBAN_CHARS[n].split()), n).otherwise(rest), IBAN_CHARS, F.lit(0))
+    whole = F.length(run)
+    ends = F.filter(F.sequence(F.lit(15), whole), lambda e: ((e == whole) | (F.substr(run, e + 1, F.lit(1)) == " ")) & ((chars == 0) | (e == whole) | (bare(F.substr(run, F.lit(1), e)) == chars)))
+    valid = F.filter(ends, lambda e: _VALID["iban"](F.substr(run, F.lit(1), e)))
+    own = F.filter(valid, lambda e: bare(F.substr(run, F.lit(1), e)) == chars)
+    return F.coalesce(F.get(own, F.lit(0)), F.array_max(valid), F.lit(0))
+
+
 def _spans(kind: str, text: Column, matches: Column) -> Column:
-    """array<struct<start, rank, stop, kind, score>> of the confirmed matches."""
+    """array<struct<start, rank, stop, kind, score>> of the confirmed matches; those of IBANs are starts."""
     gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(matches))
-    sized = F.zip_with(gaps, matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), _VALID[kind](m).alias("ok")))
+    if kind == "iban":
+        rests = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1))
+        lengths = F.zip_with(matches, rests, lambda m, rest: iban_length(F.concat(m, rest)))
+    else:
+        lengths = F.transform(matches, lambda m: F.when(_VALID[kind](m), F.length(m)).otherwise(0))
+    sized = F.zip_with(F.zip_with(gaps, matches, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"))), lengths, lambda x, n: F.struct(x["gap"].alias("gap"), x["len"].alias("len"), n.alias("size")))
     empty = F.array().cast("array<struct<start:int,stop:int>>")
+    # a start inside a span that is confirmed proposes nothing
     walked = F.aggregate(
         sized,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), empty.alias("spans")),
         lambda a, x: F.struct(
             (a["at"] + x["gap"] + x["len"]).alias("at"),
-            F.when(x["ok"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("stop"))))).otherwise(a["spans"]).alias("spans"),
+            F.when((x["size"] > 0) & (a["at"] + x["gap"] >= a["free"]), a["at"] + x["gap"] + x["size"]).otherwise(a["free"]).alias("free"),
+            F.when((x["size"] > 0) & (a["at"] + x["gap"] >= a["free"]), F.concat(a["spans"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("stop"))))).otherwise(a["spans"]).alias("spans"),
         ),
     )["spans"]
     words = rf"(?i)(?<![A-Za-z])(?:{'|'.join(CONTEXT[kind])})(?![A-Za-z])"

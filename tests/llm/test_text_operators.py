@@ -177,6 +177,24 @@ def test_pii_added_kinds(spark):
     assert texts[0][rows[0][0].start : rows[0][0].stop] == "DE89 3704 0044 0532 0130 00"
 
 
+def test_pii_ibans_before_words(spark):
+    """The words behind an IBAN don't hide it; each text has its IBANs in brackets, which are taken out."""
+    marked = [
+        "IBAN [DE89370400440532013000] Please pay",
+        "[DE89 3704 0044 0532 0130 00] BIC COBADEFF",
+        "[DE89 3704 0044 0532 0130 00] A b",
+        "[DE89 3704 0044 0532 0130 00] [GB82 WEST 1234 5698 7654 32] OR [NO93 8601 1117 947] Then",
+        "[MT84 MALT 0110 0001 2345 MTLC AST0 01S] OF 2024",
+        "é😀 [ZZ22 3704 0044 0532 0130 00] XYZ Ab",
+        "DE89370400440532013000Please DE88 3704 0044 0532 0130 00 Please xDE89370400440532013000",
+        "AB12 " * 3000,
+    ]
+    texts = [re.sub(r"[\[\]]", "", t) for t in marked]
+    want = [re.findall(r"\[(.*?)\]", t) for t in marked]
+    rows = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, list(enumerate(texts)))).collect()}
+    assert [[texts[i][s.start : s.stop] for s in rows[i] if s.kind == "iban"] for i in range(7)] == want[:7]
+
+
 def test_mix_sources(spark, monkeypatch):
     rng = random.Random(6)
     docs = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "a", "a", "b", "ä", "Z", "", None])) for i in range(400)] + [(500, None, "b"), (501, "x", "only"), (502, "", "empty")]
