@@ -53,7 +53,7 @@ CONTEXT = {
     "iban": ["iban", "account", "bank", "transfer"],
     "ssn": ["ssn", "social", "security", "taxpayer"],
 }
-#: Code points before a span in which context words count, and the score that a span beyond the base needs.
+#: Code points on each side of a span in which context words count, and the score that a span beyond the base needs.
 CONTEXT_CHARS = 40
 ADDED_SCORE = 0.5
 
@@ -133,8 +133,9 @@ def _spans(kind: str, text: Column, matches: Column) -> Column:
 
     def scored(s: Column) -> Column:
         from_ = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.substr(text, from_ + 1, s["start"] - from_)
-        score = F.lit(SCORES[kind]) + F.when(near.rlike(words), F.lit(0.3)).otherwise(F.lit(0.0))
+        before = F.substr(text, from_ + 1, s["start"] - from_)
+        behind = F.substr(text, s["stop"] + 1, F.lit(CONTEXT_CHARS))
+        score = F.lit(SCORES[kind]) + F.when(before.rlike(words) | behind.rlike(words), F.lit(0.3)).otherwise(F.lit(0.0))
         return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), F.round(F.least(score, F.lit(1.0)), 2).alias("score"))
 
     spans = F.transform(walked, scored)

@@ -195,6 +195,13 @@ def test_pii_ibans_before_words(spark):
     assert [[texts[i][s.start : s.stop] for s in rows[i] if s.kind == "iban"] for i in range(7)] == want[:7]
 
 
+def test_pii_context_behind(spark):
+    texts = ["123-45-6789 is my social security number", "😀 123-45-6789 (SSN)", "123-45-6789 " + "x" * 40 + " ssn", "123-45-6789", "4111111111111111 on my card", "4111111111111111 x"]
+    rows = {r.doc_id: r.spans for r in pii.find_pii(frame(spark, list(enumerate(texts)))).collect()}
+    assert [[s.kind for s in rows[i]] for i in range(4)] == [["ssn"], ["ssn"], [], []]
+    assert rows[4][0].score > rows[5][0].score
+
+
 def test_mix_sources(spark, monkeypatch):
     rng = random.Random(6)
     docs = [(i, "w " * rng.randint(0, 40), rng.choice(["a", "a", "a", "b", "ä", "Z", "", None])) for i in range(400)] + [(500, None, "b"), (501, "x", "only"), (502, "", "empty")]
