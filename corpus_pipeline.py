@@ -17,10 +17,25 @@ from logweave.llm import toxicity as severity
 from logweave.llm.common import cut, restrict, shared_folder, word_count
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``_key`` that no two rows share, and one row of those with equal ids and texts.
+
+    It is the id where that is there once. Else it is a hash of id and text above all usual ids; only such rows move.
+    """
+    odd = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select("doc_id"))
+    plain = docs.withColumn("_key", F.col("doc_id").cast("long"))
+    if odd.isEmpty():
+        return plain
+    repeated = odd.filter("doc_id IS NOT NULL")
+    hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rest = docs.filter("doc_id IS NULL").unionByName(restrict(docs, repeated, "doc_id").select(*docs.columns)).withColumn("_key", hashed).dropDuplicates(["_key"])
+    return restrict(plain.filter("doc_id IS NOT NULL"), repeated, "doc_id", "left_anti").select(*rest.columns).unionByName(rest)
+
+
 def _without(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """``docs`` without the ids that ``verdict`` (doc_id, kept) drops."""
-    gone = cut(verdict.filter("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return restrict(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the keys that ``verdict`` (doc_id, kept) drops, and without the column of keys."""
+    gone = cut(verdict.filter("NOT kept").select(F.col("doc_id").alias("_key")).distinct())
+    return restrict(docs, gone, "_key", "left_anti").select(*[c for c in docs.columns if c != "_key"])
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +47,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of those that are equal without white space."""
-    return _without(docs, exact_dedup.exact_dedup(docs))
+    keyed = _keyed(docs)
+    return _without(keyed, exact_dedup.exact_dedup(keyed, id_col="_key"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles with a similarity of 0.8 or more."""
-    return _without(docs, minhash.near_dedup(docs, shingle=5, percent=80))
+    keyed = _keyed(docs)
+    return _without(keyed, minhash.near_dedup(keyed, shingle=5, percent=80, id_col="_key"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -201,3 +201,19 @@ def test_pipeline(spark, tmp_path):
     coded = before["bpe"].collect()
     assert len(coded) == len(mixed) and all(r.round_trip and r.n_tokens == len(r.ids) for r in coded)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(coded)
+
+
+def test_pipeline_drops_rows_not_ids(spark):
+    """Null and repeated ids: copies go, clean texts of the same id stay."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(5))
+    exact = [(1, a), (2, a + " "), (2, b), (3, c), (3, c), (3, c), (None, d), (None, d), (None, " " + b), (None, None), (None, None)]
+    out = corpus_pipeline.exact_copies(spark, spark.createDataFrame(exact, "doc_id long, text string"), "")
+    assert out.columns == ["doc_id", "text"]
+    assert sorted("".join((r.text or "").split()) for r in out.collect()) == sorted("".join(t.split()) for t in (a, b, c, d, ""))
+    near = [(1, a), (2, a + " end"), (2, b), (None, c), (None, c + " end"), (None, d), (4, d + " end"), (5, e)]
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(near, "doc_id long, text string"), "").collect()]
+    assert sorted(t.split()[0] for _, t in rows) == sorted(t.split()[0] for t in (a, b, c, d, e))
+    assert {(1, a), (2, b), (4, d + " end"), (5, e)} <= set(rows)
