@@ -18,8 +18,6 @@ from .masking import UNICODE
 _PATH_DELIMITERS = r"\s,!;:=|\"'+\[\](){}"
 _TOKEN_DELIMITERS = _PATH_DELIMITERS + r".\-@#$%&/"
 _VALUES = ("true", "false", "null", "root")
-#: How deep #<*># may be nested.
-NESTING = 4
 
 
 def _run(body: str, delimiters: str) -> str:
@@ -58,11 +56,20 @@ def _chain(text: Column, sep: str) -> Column:
     return F.regexp_replace(text, rf"<\*>(?:{re.escape(sep)}<\*>)++", "<*>")
 
 
+def _unwrap(text: Column) -> Column:
+    """#<*># becomes <*> until none is left: as often as the longest run of # before a wildcard at most."""
+
+    def all_of(t: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(t, F.lit(r"(#+)(?=<\*>#)"), F.lit(1)), F.length)
+        return F.when(F.size(runs) > 0, F.aggregate(F.sequence(F.lit(1), F.array_max(runs)), t, lambda a, _: F.regexp_replace(a, r"#<\*>#", "<*>"))).otherwise(t)
+
+    return F.get(F.transform(F.array(text), all_of), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Wildcards next to each other, or with one symbol between them, become one."""
     text = _chain(_chain(text, "."), "")
-    for _ in range(NESTING):
-        text = F.regexp_replace(text, r"#<\*>#", "<*>")
+    text = _unwrap(text)
     text = _chain(_chain(text, ":"), "/")
     text = F.regexp_replace(text, r"(?<= )#<\*>(?= )", "<*>")
     for sep in (":", "#", "/", "@", "."):

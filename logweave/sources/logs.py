@@ -68,7 +68,7 @@ def read_structured(spark: SparkSession, path: str) -> DataFrame:
 def strip_prefix(value: Column) -> Column:
     """Lines whose second word starts po- or fsp- lose their first five words."""
     words = F.filter(F.split(value, UNICODE + r"\s+"), lambda w: w != "")
-    return F.when(F.lower(F.get(words, F.lit(1))).rlike("^(po-|fsp-)"), F.array_join(F.slice(words, 6, 1_000_000), " ")).otherwise(value)
+    return F.when(F.lower(F.get(words, F.lit(1))).rlike("^(po-|fsp-)"), F.array_join(F.slice(words, F.lit(6), F.size(words)), " ")).otherwise(value)
 
 
 def engine_lines(structured: DataFrame, index: str = "LineId") -> DataFrame:

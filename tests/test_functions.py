@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from logweave.functions import align, correct, masking, tokens
 from logweave.functions.params import template_pattern
 from logweave.operators.group import similar, walk
+from logweave.sources import logs
 
 
 def values(spark, make, texts):
@@ -141,3 +142,19 @@ def test_template_pattern():
     pattern, names = template_pattern("user <NUM> at <DOM> did <*>", rules, "<", ">", True)
     m = re.match(pattern, "user 12 at x.x did go away")
     assert [(v, names[g]) for g, v in m.groupdict().items() if g in names] == [("12", "NUM"), ("x.x", "DOM"), ("go away", "*")]
+
+
+def test_nothing_is_cut_off_long_inputs(spark):
+    """As the reference: #<*># is replaced until none is left."""
+    texts = ["#####<*>#####", "a " + "#" * 50 + "<*>" + "#" * 52 + " b", "##<*>##<*>##", "#<*>####<*>###", "# <*>", ""]
+
+    def plain(t):
+        while "#<*>#" in t:
+            t = t.replace("#<*>#", "<*>")
+        return t
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.u for r in rows.select("i", correct._unwrap(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+    long = spark.range(1).select(F.concat(F.lit("1 PO-1 a b c"), F.repeat(F.lit(" w"), 1_000_003)).alias("value"))
+    assert long.select(F.length(logs.strip_prefix(F.col("value")))).first()[0] == 2 * 1_000_003 - 1
