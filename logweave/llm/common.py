@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +42,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Tables:
+    """Tables in the shared folder: unlike checkpoints they are compressed, have columns, and don't hand on a plan, whose
+    planning time would double over the rounds of a loop. ``drop`` deletes those that nothing reads any more; the others go
+    when the driver's Python ends, because the result is still to be read from them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        atexit.register(self._end)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{len(self.paths):04d}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = path
+        self._known = [*getattr(self, "_known", []), out]  # ids of objects are only unique while these live
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and (path := self.paths.get(id(t))):
+                _delete(self.spark, path)
+
+    def _end(self) -> None:
+        try:
+            _delete(self.spark, self.base)
+        except Exception:  # the session has ended before
+            return
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -137,6 +175,11 @@ def restrict(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") ->
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, how)
 
 
+def attach(df: DataFrame, table: DataFrame, on: list[str] | str, how: str = "left") -> DataFrame:
+    """``df`` joined with a materialised ``table``, which goes to every task if it is counted to be small enough."""
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, on, how)
+
+
 def bytes_of(column) -> list[bytes]:
     """An Arrow column of strings as UTF-8, null as empty."""
     import pyarrow as pa
@@ -154,7 +197,7 @@ def ragged(parts: list[np.ndarray], kind=np.int64):
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(kind, copy=False)))
 
 
-def pieces(batches, budget: int = 4 << 20):
+def pieces(batches, budget: int = 1 << 20):
     """Arrow batches cut to slices whose first text column has about ``budget`` bytes, so that output stays small."""
     for batch in batches:
         n = batch.num_rows

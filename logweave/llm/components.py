@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder. A checkpoint would do, but hands on what is known of its plan, and over
-    the rounds of a loop the time to plan doubles each time."""
-    path = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from .common import Tables
 
 
 def _shuffled(x: Column) -> Column:
@@ -31,23 +21,29 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Each round maps every node to the smallest of itself and its neighbours, and the links with it. That keeps nodes
     connected that were, and shrinks the graph by a constant factor in expectation, because names are random; links to
     a hub are first reduced on the map side. Then the maps are composed, smallest first. Loops and repeated links are
-    allowed; nulls link nothing; no links give no rows.
+    allowed; nulls link nothing; no links give no rows. ``links`` is read twice.
     """
+    tables = Tables(links.sparkSession, "components")
     ends = links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
-    edges = cut(ends.select(_shuffled(F.col("a")).alias("u"), _shuffled(F.col("b")).alias("v")).distinct())
+    edges = tables.cut(ends.select(_shuffled(F.col("a")).alias("u"), _shuffled(F.col("b")).alias("v")).distinct())
     ids = ends.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", _shuffled(F.col("id")).alias("u"))
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        step = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        step = tables.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         maps.append(step)
         moved = edges.join(step, "u").select(F.col("m").alias("x"), F.col("v").alias("u")).join(step, "u").select("x", F.col("m").alias("y"))
-        edges = cut(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        after = tables.cut(moved.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
+        tables.drop(edges)
+        edges = after
+    tables.drop(edges)
     if not maps:
         return ids.select("id", F.col("id").alias("component"))
+    used = list(maps)
     roots = maps.pop()
     while maps:
         step, later = maps.pop(), roots.select(F.col("u").alias("m"), F.col("m").alias("root"))
         roots = step.join(later, "m", "left").select("u", F.coalesce("root", "m").alias("m"))
-    placed = cut(ids.join(roots, "u").select("id", F.col("m").alias("root")))
+    placed = tables.cut(ids.join(roots, "u").select("id", F.col("m").alias("root")))
+    tables.drop(*used)
     return placed.join(placed.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")

@@ -43,8 +43,8 @@ def test_near_dedup(spark, k, percent):
 
 
 def test_near_dedup_of_a_large_group(spark, monkeypatch):
-    """Leaders, several rounds and the final pairs give what all pairs would."""
-    monkeypatch.setattr(minhash, "OUTRIGHT", 0.01)
+    """Leaders and the pairs between components give what all pairs would, whether leaders find links or not."""
+    monkeypatch.setattr(minhash, "LEADERS", 1)
     rng = random.Random(5)
     w = [f"w{i}" for i in range(120)]
     docs = []
@@ -53,8 +53,27 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch):
         for _ in range(rng.choice([1, 2, 3, 4])):
             v[rng.randrange(len(v))] = f"y{rng.randrange(1000)}"
         docs.append((i, " ".join(v)))
-    got = minhash.near_dedup(frame(spark, docs), shingle=3, percent=85).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(docs, 3, 85)
+    for rounds in (2, 0):
+        monkeypatch.setattr(minhash, "ROUNDS", rounds)
+        got = minhash.near_dedup(frame(spark, docs), shingle=3, percent=85).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(docs, 3, 85)
+
+
+def test_odd_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(3)
+    for n, k in ((50, 5), (300, 40), (5000, 900), (5000, 0)):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[k:], rng.integers(0, 2**63, k, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((minhash.odd_sketch(x) ^ minhash.odd_sketch(y)).view(np.uint64)).sum())
+        apart = len(np.setxor1d(x, y))
+        assert differ <= apart and differ % 2 == apart % 2 and (n > 300 or differ >= 0.8 * apart)
+
+
+def test_near_dedup_of_repeated_rows_and_long_texts(spark):
+    long = "w" * 3_000_000 + " " + " ".join(f"v{i}" for i in range(400))
+    docs = [(1, "a b c d e")] * 40 + [(2, long), (3, long + " end"), (4, "x" * 50_000)]
+    rows = minhash.near_dedup(frame(spark, docs), shingle=3, percent=85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1)] * 40 + [(2, 2), (3, 2), (4, 4)]
 
 
 def test_near_dedup_odd_rows(spark):
