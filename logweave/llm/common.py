@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -69,15 +69,22 @@ class Tables:
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
             if t is not None and (path := self.paths.get(id(t))):
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
     def _end(self) -> None:
         try:
-            _delete(self.spark, self.base)
+            delete(self.spark, self.base)
         except Exception:  # the session has ended before
             return
 
 
+def free_name(taken, name: str = "_text") -> str:
+    """``name``, with as many underscores behind it as make it none of ``taken``."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -180,6 +187,39 @@ def attach(df: DataFrame, table: DataFrame, on: list[str] | str, how: str = "lef
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS else table, on, how)
 
 
+#: Rows and bytes of an Arrow batch on its way to Python, where the session has left Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded: Spark's default of 10,000 rows is any number of bytes of texts."""
+    conf = df.sparkSession.conf
+    rows, size = (f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if conf.get(rows) == "10000":
+        conf.set(rows, str(BATCH_ROWS))
+    if _size(conf.get(size)) > BATCH_BYTES:
+        conf.set(size, str(BATCH_BYTES))
+    return df
+
+
+def _size(text: str) -> int:
+    digits = re.match(r"\d*", text)[0]
+    return int(digits or 0) << {"k": 10, "m": 20, "g": 30}.get(text[len(digits) : len(digits) + 1].lower(), 0)
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the machine, since workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        return
+
+
 def bytes_of(column) -> list[bytes]:
     """An Arrow column of strings as UTF-8, null as empty."""
     import pyarrow as pa
@@ -205,3 +245,4 @@ def pieces(batches, budget: int = 1 << 20):
             each = max(1, int(n * budget / max(1, batch.nbytes)))
             for at in range(0, n, each):
                 yield batch.slice(at, each)
+    trim()

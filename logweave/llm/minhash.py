@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, attach, bytes_of, mix, pieces, ragged, restrict, window_hashes, word_hashes
+from .common import Tables, attach, bytes_of, mix, pieces, ragged, restrict, small_batches, window_hashes, word_hashes
 from .components import connected_components
 
 BITS = 4  # kept of each minimum
@@ -111,7 +111,7 @@ def features(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
             ints = [pa.array(x, pa.int64()) for x in (sizes, f1, f2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *ints, ragged(keys), ragged(planes), ragged(odd)], ["doc_id", "n_shingles", "f1", "f2", "bands", "planes", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>, odd array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, planes array<long>, odd array<long>")
 
 
 def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -123,7 +123,7 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), ragged([shingle_set(raw, shingle).view(np.int64) for raw in bytes_of(batch.column(1))])], ["doc_id", "members"])
 
-    return docs.mapInArrow(run, "doc_id long, members array<long>")
+    return small_batches(docs).mapInArrow(run, "doc_id long, members array<long>")
 
 
 def estimate(a: Column, b: Column, bands: int) -> Column:

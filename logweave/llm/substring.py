@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACE, bytes_of, cut, mix, pieces, restrict, window_hashes, word_count, word_hashes
+from .common import BROADCAST_IDS, SPACE, bytes_of, cut, mix, pieces, restrict, small_batches, window_hashes, word_count, word_hashes
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
@@ -73,7 +73,7 @@ def _level(docs: DataFrame, length: int, window: int, before: int | None) -> Dat
             both = np.concatenate(out, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[-1]), pa.array(np.concatenate(ids))], ["h", "g", "doc_id"])
 
-    return docs.mapInArrow(run, "h long, g long, doc_id long")
+    return small_batches(docs).mapInArrow(run, "h long, g long, doc_id long")
 
 
 def _lists(rows: DataFrame, repeated_only: bool) -> DataFrame:
@@ -112,7 +112,7 @@ def _strip(docs: DataFrame, window: int) -> DataFrame:
                 kept.append(b" ".join(words_kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
