@@ -1,10 +1,14 @@
-"""Wildcard alignment in plain Python, for the few places where a pattern differs from row to row."""
+"""Wildcard alignment in plain Python, for the few places where a pattern differs from row to row, and bracket groups."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..schemas import PARAM
 
 _SNAKE_OR_CAMEL = re.compile(r"[a-z]+(?:_[a-z]+)+\n?\Z|[a-zA-Z]+(?:[A-Z][a-z0-9]+)+\n?\Z")
@@ -96,50 +100,66 @@ def longest_common_subsequence(a: list[str], b: list[str]) -> list[str]:
     return out[::-1]
 
 
-_PAIRS = {"{": "}", "[": "]", "(": ")", "<": ">"}
-_CLOSE = frozenset(_PAIRS.values())
+#: Brackets that make groups, and what is between brackets of any kind.
+BRACKETS = ("{}", "[]", "()", "<>")
+_PLAIN = re.compile(r"[^{}\[\]()<>]+")
+
+
+def _partners(text: str) -> dict[int, int]:
+    """Where each bracket that is closed by one of its kind is closed; kinds don't see each other."""
+    kind = {c: pair for pair in BRACKETS for c in pair}
+    waiting: dict[str, list[int]] = {pair: [] for pair in BRACKETS}
+    closed = {}
+    for i, c in enumerate(text):
+        pair = kind.get(c)
+        if pair and c == pair[0]:
+            waiting[pair].append(i)
+        elif pair and waiting[pair]:
+            closed[waiting[pair].pop()] = i
+    return closed
 
 
 def symmetric_split(text: str) -> list[str]:
-    """Tokens of nested bracket groups, brackets included; an unclosed group stays one token."""
-    out: list[str] = []
-    stack = [(text, 0)]
-    while stack:
-        s, i = stack.pop()
-        while i < len(s):
-            c = s[i]
-            if c in _PAIRS:
-                depth, j = 1, i + 1
-                while j < len(s) and depth:
-                    depth += (s[j] == c) - (s[j] == _PAIRS[c])
-                    j += 1
-                if depth:
-                    out.append(s[i:])
-                    break
-                out.append(c)
-                # the inside first, then the closing sign and what follows
-                stack += [(s, j), (_PAIRS[c], -1), (s[i + 1 : j - 1], 0)]
-                break
-            if c in _CLOSE:
-                out.append(c)
-                i += 1
+    """Brackets and what is between them, nested groups too; from a bracket that its group leaves open, the group's rest is
+    one token."""
+    closed, out, ends, i = _partners(text), [], [len(text)], 0
+    while i < len(text):
+        if i == ends[-1]:
+            ends.pop()
+        elif text[i] in "{[(<":
+            if closed.get(i, len(text)) >= ends[-1]:
+                out.append(text[i : ends[-1]])
+                i = ends[-1]
                 continue
-            j = i
-            while j < len(s) and s[j] not in _PAIRS and s[j] not in _CLOSE:
-                j += 1
-            out.append(s[i:j])
-            i = j
-        while stack and stack[-1][1] == -1:
-            out.append(stack.pop()[0])
-    return [t for t in out if t]
-
-
-def outer_split(text: str) -> list[str]:
-    """Words, with a bracket pair around a whole word split off."""
-    out: list[str] = []
-    for w in text.split():
-        out += [w[0], w[1:-1], w[-1]] if len(w) > 1 and _PAIRS.get(w[0]) == w[-1] else [w]
-    return [t for t in out if t]
+            ends.append(closed[i])
+        elif plain := _PLAIN.match(text, i, ends[-1]):
+            out.append(plain[0])
+            i = plain.end()
+            continue
+        out.append(text[i])
+        i += 1
+    return out
+
+
+def symmetric_tokens(text: Column) -> Column:
+    """array<string>: ``symmetric_split`` of a column, in Arrow batches; null stays null."""
+
+    @F.pandas_udf("array<string>")
+    def split(values: pd.Series) -> pd.Series:
+        return values.map(symmetric_split, na_action="ignore")
+
+    return split(text)
+
+
+def outer_tokens(text: Column) -> Column:
+    """array<string>: words, with a bracket pair around a whole word split off."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+    whole = r"(?s)^(\{.*\}|\[.*\]|\(.*\)|<.*>)$"
+
+    def parts(w: Column) -> Column:
+        return F.when(w.rlike(whole), F.array(F.left(w, F.lit(1)), F.substr(w, F.lit(2), F.length(w) - 2), F.right(w, F.lit(1)))).otherwise(F.array(w))
+
+    return F.filter(F.flatten(F.transform(words, parts)), lambda t: t != "")
 
 
 def last_json_object(text: str) -> str | None:

@@ -16,44 +16,46 @@ from .masking import Masker, MaskRule
 CACHE = 3000
 
 
-def template_pattern(template: str, rules: Sequence[MaskRule], prefix: str, suffix: str, exact: bool) -> tuple[str, dict[str, str]]:
-    """A pattern for the lines of a template, and the mask name of each of its groups.
+# What may have to change in a rule's pattern: names of groups and references to them; escaped backslashes are passed over.
+_NAMES = re.compile(r"\\\\|\(\?P<(?P<define>\w+)>|\(\?P=(?P<refer>\w+)\)|\\(?P<number>[1-9]\d?)")
 
-    A mask stands for what its rules match (``exact``) or for anything; white space for any white space.
+
+def _local(pattern: str, place: int) -> str:
+    """A rule's pattern as a part of a larger one: its groups are named after the ``place`` of the mask, and a reference by
+    number, which would mean another group there, is anything."""
+
+    def changed(m: re.Match) -> str:
+        if m["define"]:
+            return f"(?P<{m['define']}__{place}>"
+        if m["refer"]:
+            return f"(?P={m['refer']}__{place})"
+        return "(?:.+?)" if m["number"] else m[0]
+
+    return _NAMES.sub(changed, pattern)
+
+
+def template_pattern(template: str, rules: Sequence[MaskRule], prefix: str, suffix: str, exact: bool) -> tuple[str, list[str]]:
+    """A pattern for the lines of a template, and the mask names of its masks in order; mask i is group ``v<i>``.
+
+    A mask stands for what its rules match (``exact``) or for anything; a space for any white space.
     """
-    by_name: dict[str, list[str]] = {"*": []}
-    for r in rules:
-        by_name.setdefault(r.mask_with, []).append(r.pattern)
-    marks = re.compile("|".join(re.escape(prefix + n + suffix) for n in sorted(by_name, key=len, reverse=True)))
-    names: dict[str, str] = {}
-    count = 0
-
-    def fresh() -> str:
-        nonlocal count
-        count += 1
-        return f"p_{count - 1}"
-
-    def group(name: str) -> str:
-        allowed = []
-        for pattern in by_name[name] if exact else ():
-            for old in re.compile(pattern).groupindex:
-                new = fresh()
-                pattern = pattern.replace(f"(?P<{old}>", f"(?P<{new}>").replace(f"(?P={old})", f"(?P={new})")
-            allowed.append(re.sub(r"\\(?!0)\d{1,2}", "(?:.+?)", pattern))
+    known = {"*", *(r.mask_with for r in rules)}
+    marks = "|".join(re.escape(prefix + n + suffix) for n in sorted(known, key=len, reverse=True))
+    # literals and masks take turns
+    parts = re.split(f"({marks})", template)
+    literals = [r"\s+".join(map(re.escape, x.split(" "))) for x in parts[::2]]
+    names = [x[len(prefix) : len(x) - len(suffix)] for x in parts[1::2]]
+    masks = []
+    for i, name in enumerate(names):
+        fits = [_local(r.pattern, 100 * i + j) for j, r in enumerate(rules) if exact and r.mask_with == name]
         if not exact or name == "*":
-            allowed.append(".+?")
-        names[own := fresh()] = name
-        return f"(?P<{own}>{'|'.join(allowed)})"
-
-    out, at = "", 0
-    for m in marks.finditer(template):
-        out += re.escape(template[at : m.start()]) + group(m[0][len(prefix) : len(m[0]) - len(suffix)])
-        at = m.end()
-    return "^" + re.sub(r"\\ ", r"\\s+", out + re.escape(template[at:])) + "$", names
+            fits.append(".+?")
+        masks.append(f"(?P<v{i}>{'|'.join(fits)})")
+    return "^" + "".join(x + y for x, y in zip(literals, [*masks, ""], strict=True)) + "$", names
 
 
 @lru_cache(CACHE)
-def _compiled(template: str, rules: tuple[MaskRule, ...], prefix: str, suffix: str, exact: bool) -> tuple[re.Pattern, dict[str, str]]:
+def _compiled(template: str, rules: tuple[MaskRule, ...], prefix: str, suffix: str, exact: bool) -> tuple[re.Pattern, list[str]]:
     pattern, names = template_pattern(template, rules, prefix, suffix, exact)
     return re.compile(pattern), names
 
@@ -65,7 +67,7 @@ def _values(template: str | None, content: str | None, rules: tuple[MaskRule, ..
         content = re.sub(d, " ", content)
     pattern, names = _compiled(template, rules, prefix, suffix, exact)
     m = pattern.match(content)
-    return [{"value": v, "mask_name": names[g]} for g, v in m.groupdict().items() if g in names] if m else None
+    return [{"value": m[f"v{i}"], "mask_name": name} for i, name in enumerate(names)] if m else None
 
 
 def extract_parameters(lines: DataFrame, masker: Masker, exact: bool = True, delimiters: Sequence[str] = (), template_col: str = "template", content_col: str = "content", out_col: str = "parameters") -> DataFrame:

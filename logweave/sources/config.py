@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 from ..functions.masking import Masker, MaskRule
 from ..schemas import LLM_RECORD
 
-ENGINES = ("logclub", "scope")
+#: Which miner a configuration is for: ``batch`` mines whole logs or chunks, ``online`` takes line by line.
+ENGINES = ("batch", "online")
+# The section that has the miner's settings.
+MAIN = "DRAIN"
 
 
 @dataclass
 class Config:
     """The settings that have an effect. Keys come from the environment (``LLM_API_KEY``), never from files."""
 
-    engine: str = "LogClub"
+    engine: str = "batch"
     depth: int = 4
     sim_th: float = 0.4
     max_children: int = 100
@@ -62,7 +65,7 @@ def load_config(path: str) -> Config:
     def rules(text: str) -> list[MaskRule]:
         return [MaskRule(x["regex_pattern"], x["mask_with"]) for x in json.loads(text)]
 
-    main = "DRAIN"
+    main = MAIN
     config = Config(
         engine=get(main, "engine", str, d.engine),
         depth=get(main, "depth", int, d.depth),
@@ -74,12 +77,12 @@ def load_config(path: str) -> Config:
         mask_prefix=get("MASKING", "mask_prefix", str, d.mask_prefix),
         mask_suffix=get("MASKING", "mask_suffix", str, d.mask_suffix),
         masking=get("MASKING", "masking", rules, []),
-        parameter_cache=get(main, "parameter_extraction_cache_capacity", int, d.parameter_cache),
+        parameter_cache=get("MASKING", "parameter_extraction_cache_capacity", int, d.parameter_cache),
         snapshot_minutes=get("SNAPSHOT", "snapshot_interval_minutes", int, d.snapshot_minutes),
         snapshot_compress=get("SNAPSHOT", "compress_state", bool, d.snapshot_compress),
-        llm_provider=get("LLM", "provider", str, None),
-        llm_model=get("LLM", "model", str, None),
-        llm_thinking=get("LLM", "thinking", bool, False),
+        llm_provider=get(main, "LLM_provider", str, None),
+        llm_model=get(main, "LLM_model", str, None),
+        llm_thinking=get(main, "LLM_thinking", bool, False),
     )
     if config.engine.lower() not in ENGINES:
         raise ValueError(f"engine {config.engine!r} isn't one of {', '.join(ENGINES)}")

@@ -203,7 +203,7 @@ def test_csv_round_trip(spark, tmp_path):
 
 def test_config(tmp_path):
     path = tmp_path / "a.ini"
-    path.write_text('[DRAIN]\nengine = LogClub\ndepth = 500\nsim_th = 0.1\n[MASKING]\nmask_prefix = <:\nmask_suffix = :>\nmasking = [{"regex_pattern": "\\\\d+", "mask_with": "NUM"}]\n')
+    path.write_text('[DRAIN]\nengine = batch\nLLM_provider = p\nLLM_model = m\nLLM_thinking = true\ndepth = 500\nsim_th = 0.1\n[MASKING]\nmask_prefix = <:\nmask_suffix = :>\nparameter_extraction_cache_capacity = 77\nmasking = [{"regex_pattern": "\\\\d+", "mask_with": "NUM"}]\n')
     c = config.load_config(str(path))
     assert (c.depth, c.sim_th, c.mask_prefix, c.masking[0].pattern) == (500, 0.1, "<:", r"\d+")
     assert isinstance(c.masker, Masker)

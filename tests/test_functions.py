@@ -127,7 +127,8 @@ def test_symmetric_split():
     assert align.symmetric_split("a(b[c]d)e") == ["a", "(", "b", "[", "c", "]", "d", ")", "e"]
     assert align.symmetric_split("a(b") == ["a", "(b"]
     assert align.symmetric_split("(a)(b)") == ["(", "a", ")", "(", "b", ")"]
-    assert align.outer_split("(ab) c") == ["(", "ab", ")", "c"]
+    assert align.symmetric_split("(a[b)c]") == ["(", "a", "[b", ")", "c", "]"] and align.symmetric_split("") == []
+    assert align.symmetric_split("x)<y <z>>{") == ["x", ")", "<", "y ", "<", "z", ">", ">", "{"]
 
 
 def test_json_helpers():
@@ -141,7 +142,18 @@ def test_template_pattern():
     rules = [masking.MaskRule(r"\d+", "NUM"), masking.MaskRule(r"(?P<h>\w+)\.(?P=h)", "DOM")]
     pattern, names = template_pattern("user <NUM> at <DOM> did <*>", rules, "<", ">", True)
     m = re.match(pattern, "user 12 at x.x did go away")
-    assert [(v, names[g]) for g, v in m.groupdict().items() if g in names] == [("12", "NUM"), ("x.x", "DOM"), ("go away", "*")]
+    assert [(m[f"v{i}"], n) for i, n in enumerate(names)] == [("12", "NUM"), ("x.x", "DOM"), ("go away", "*")]
+    twice, names = template_pattern("<DOM>  <DOM>", [rules[1], masking.MaskRule(r"(z)\1\\1", "DOM")], "<", ">", True)
+    assert re.match(twice, "a.a  b.b") and not re.match(twice, "a.a b.b") and not re.match(twice, "a.b  b.b") and names == ["DOM", "DOM"]
+    assert re.match(twice, "zq\\1  b.b")
+
+
+def test_bracket_tokens(spark):
+    texts = ["a(b[c]d)e", "(ab) c <x> {y} [z) ()", None, " ", "(a (b) c)", "x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", align.symmetric_tokens(F.col("t")).alias("s"), align.outer_tokens(F.col("t")).alias("o")).orderBy("i").collect()
+    assert [r.s for r in got] == [None if t is None else align.symmetric_split(t) for t in texts]
+    assert got[1].o == ["(", "ab", ")", "c", "<", "x", ">", "{", "y", "}", "[z)", "(", ")"] and got[2].o is None and got[3].o == [] and got[4].o == ["(a", "(", "b", ")", "c)"]
 
 
 def test_nothing_is_cut_off_long_inputs(spark):
