@@ -89,11 +89,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def fold(value: Column, *columns: Column) -> Column:
-    """A 64-bit hash of columns, seeded by ``value``."""
-    return F.xxhash64(value, *columns)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)

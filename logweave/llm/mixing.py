@@ -12,10 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fold, word_count
+from .common import cut, word_count
 
 #: Rows that a bucket of a source's order holds on average.
 BUCKET_ROWS = 20_000
+KEY_BITS = 60
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -62,14 +63,16 @@ def mix_sources(
     epochs of the source, and then the source's order up to its budget, where the last document is taken in part. So a
     source's sum of ``taken`` is its target rounded down. Null is a source of its own; empty texts have size 0 and are
     never taken; a source without words has target 0. Rows with equal ids and sizes change places without effect; a null
-    id is hashed as null. Reruns agree. An empty table gives an empty result.
+    id is hashed as empty. Reruns agree. Texts of any length are counted whole; other columns are ignored, whatever their
+    names. An empty table gives an empty result.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), (word_count(F.col(text_col)) if size is None else size).cast("long").alias("size"))
-    sized = cut(sized.withColumn("key", fold(F.lit(seed), F.col("doc_id"), F.col("size"))))
+    # 60 bits of a hash that any SQL engine has
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    sized = cut(sized.withColumn("key", F.conv(F.substring(F.md5(text), 1, KEY_BITS // 4), 16, 10).cast("long")))
     rows = sized.count()
     bits = max(0, (rows // BUCKET_ROWS).bit_length())
-    # the highest bits of the key; its sign bit comes first in the order of signed longs, so it is turned
-    bucket = F.lit(0).cast("long") if not bits else F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63)).cast("long")), 64 - bits)
+    bucket = F.shiftright("key", KEY_BITS - bits).cast("long")
     sized = sized.withColumn("bucket", bucket)
     sums = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("words")))
     budget = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), **weights)

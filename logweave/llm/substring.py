@@ -1,11 +1,11 @@
 """Removal of passages that another document has already, by level-wise doubling.
 
-Windows are compared at half the length first, then at the full length, and only where the shorter ones repeat. At a
-length below the full one, not every position is needed: among the shorter windows inside a full window, the one with
-the smallest hash is its anchor. Equal windows have equal anchors, so a full window whose anchors don't all occur in a
-second document can't either, and only about two in ``window - length`` positions are ever shuffled. Hash counts are
-added up on the map side, so a passage that every document has sends one row from each task. Documents that have the
-words of a smaller id in full are set apart before.
+Windows are compared at a short length first; those that repeat are extended to twice the length, until the full length
+is reached or no candidates survive. At a length below the full one, not every position is needed: among the shorter
+windows inside a full window, the one with the smallest hash is its anchor. Equal windows have equal anchors, so a full
+window whose anchors don't all occur in a second document can't either, and only about two in ``window - length``
+positions are ever shuffled. Hash counts are added up on the map side, so a passage that every document has sends one row
+from each task. Documents that have the words of a smaller id in full are set apart before.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACE, bytes_of, cut, mix, pieces, restrict, small_batches, window_hashes, word_count, word_hashes
+from .common import BROADCAST_IDS, SPACE, Tables, bytes_of, cut, mix, pieces, restrict, small_batches, window_hashes, word_count, word_hashes
 
 _SECOND = np.uint64(0xA0761D6478BD642F)
 
 
-def levels(window: int, steps: int = 1) -> list[int]:
+#: Doublings up to the full window.
+STEPS = 3
+
+
+def levels(window: int, steps: int = STEPS) -> list[int]:
     """Lengths that double up to ``window``, after ``steps`` doublings."""
     out = [window]
     while len(out) <= steps and out[0] > 1:
@@ -76,15 +80,17 @@ def _level(docs: DataFrame, length: int, window: int, before: int | None) -> Dat
     return small_batches(docs).mapInArrow(run, "h long, g long, doc_id long")
 
 
-def _lists(rows: DataFrame, repeated_only: bool) -> DataFrame:
+def _lists(tables: Tables, rows: DataFrame, repeated_only: bool) -> DataFrame:
     """(doc_id, hashes): windows that occur in two documents, or else those that a smaller id has."""
     key = ["h"] if repeated_only else ["h", "g"]
-    rows = rows.select(*key, "doc_id")
+    rows = tables.cut(rows.select(*key, "doc_id"))  # read twice, made once
     owners = rows.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
     found = rows.join(owners, key)
     if not repeated_only:
         found = found.filter("doc_id > low")
-    return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hashes")))
+    lists = tables.cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hashes")))
+    tables.drop(rows)
+    return lists
 
 
 def _strip(docs: DataFrame, window: int) -> DataFrame:
@@ -120,8 +126,8 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
 
     A word goes if it is in a run of ``window`` words that also starts in a document with a smaller id, as the input
     has it. A null text has no words; a text shorter than the window loses nothing. Repeats within a document and
-    between rows with one id stay. A row without an id neither loses words nor makes others lose them. Other columns
-    are ignored; an empty table gives an empty result.
+    between rows with one id stay. A row without an id neither loses words nor makes others lose them. Texts of any length
+    are compared whole. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     bare = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", " "))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(bare)).alias("words"))
@@ -133,12 +139,16 @@ def drop_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text
     copies = copies.select("doc_id", "n_words", F.when(gone, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, "").otherwise(F.coalesce("bare", F.lit(""))).alias("kept_text"))
     fresh = owned.filter("doc_id IS NULL OR low IS NULL OR doc_id <= low").select("doc_id", "text")
     named = fresh.filter(F.col("doc_id").isNotNull())
+    tables = Tables(docs.sparkSession, "passages")
     lists: DataFrame | None = None
     before = None
     for length in levels(window):
         inside = named if lists is None else restrict(named, lists.select("doc_id"), "doc_id").join(lists, "doc_id").select("doc_id", "text", "hashes")
-        lists = _lists(_level(inside, length, window, before), length < window)
-        before = length
+        after = _lists(tables, _level(inside, length, window, before), length < window)
+        tables.drop(lists)
+        lists, before = after, length
+        if lists.isEmpty():
+            break  # no candidate survives
     ids = lists.select("doc_id")
     hit = restrict(named, ids, "doc_id").join(lists, "doc_id").select("doc_id", "text", "hashes")
     # left_anti also keeps rows without an id

@@ -158,7 +158,9 @@ def test_drop_repeats_odd_rows(spark, monkeypatch):
     rows = substring.drop_repeats(frame(spark, docs)).collect()
     assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text[-1:]) for r in rows) == [(0, 60, 0, "9"), (1, 61, 0, "9"), (1, 61, 0, "9"), (2, 61, 60, "y"), (2, 61, 60, "z"), (3, 0, 0, "")]
     assert substring.drop_repeats(frame(spark, docs).limit(0)).count() == 0
-    assert substring.levels(50) == [25, 50] and substring.levels(50, 2) == [13, 25, 50]
+    assert substring.levels(50) == [7, 13, 25, 50] and substring.levels(50, 1) == [25, 50] and substring.levels(1) == [1]
+    alone = [(i, " ".join(f"{i}_{j}" for j in range(70))) for i in range(5)]
+    assert all(r.n_removed == 0 and r.n_words == 70 for r in substring.drop_repeats(frame(spark, alone)).collect())
 
 
 PERSONAL = [
