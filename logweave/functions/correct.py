@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .masking import UNICODE
 
 # Delimiters of path-like runs, further delimiters of tokens, and words that are values.
@@ -27,13 +28,14 @@ def _run(body: str, delimiters: str) -> str:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, UNICODE + r"^\s+|\s+$", ""), UNICODE + r"\s+", " ")
+    odd = UNICODE + r"^\s|\s$|\s\s|[^\S ]"
+    return let(text, lambda t: F.when(t.rlike(odd), F.regexp_replace(F.regexp_replace(t, UNICODE + r"^\s+|\s+$", ""), UNICODE + r"\s+", " ")).otherwise(t))
 
 
 def paths(text: Column) -> Column:
     """Runs like /a/b, or with a slash and later a dot, become <*>."""
     d = _PATH_DELIMITERS
-    return F.regexp_replace(text, _run(rf"(?:/[^/{d}]++)++/?+|[^/{d}]*+/[^.{d}]*+\.[^{d}]*+", d), "<*>")
+    return _if(text, "/", _run(rf"(?:/[^/{d}]++)++/?+|[^/{d}]*+/[^.{d}]*+\.[^{d}]*+", d))
 
 
 def _digit_body() -> str:
@@ -52,8 +54,13 @@ def values(text: Column, user_strings: Sequence[str] = ()) -> Column:
     return F.regexp_replace(text, _run(rf"(?:{words})(?![^{d}])|{_digit_body()}|[^{d}]*?<\*>[^{d}]*+", d), "<*>")
 
 
+def _if(text: Column, part: str, pattern: str) -> Column:
+    """``pattern`` replaced by a wildcard, if ``part``, which all its matches hold, is in the text: most texts aren't searched."""
+    return let(text, lambda t: F.when(t.contains(part), F.regexp_replace(t, pattern, "<*>")).otherwise(t))
+
+
 def _chain(text: Column, sep: str) -> Column:
-    return F.regexp_replace(text, rf"<\*>(?:{re.escape(sep)}<\*>)++", "<*>")
+    return _if(text, f"<*>{sep}<*>", rf"<\*>(?:{re.escape(sep)}<\*>)++")
 
 
 def _unwrap(text: Column) -> Column:
@@ -61,9 +68,9 @@ def _unwrap(text: Column) -> Column:
 
     def all_of(t: Column) -> Column:
         runs = F.transform(F.regexp_extract_all(t, F.lit(r"(#+)(?=<\*>#)"), F.lit(1)), F.length)
-        return F.when(F.size(runs) > 0, F.aggregate(F.sequence(F.lit(1), F.array_max(runs)), t, lambda a, _: F.regexp_replace(a, r"#<\*>#", "<*>"))).otherwise(t)
+        return F.when(t.contains("#<*>#"), F.aggregate(F.sequence(F.lit(1), F.array_max(runs)), t, lambda a, _: F.regexp_replace(a, r"#<\*>#", "<*>"))).otherwise(t)
 
-    return F.get(F.transform(F.array(text), all_of), F.lit(0))
+    return let(text, all_of)
 
 
 def collapse(text: Column) -> Column:
@@ -71,10 +78,10 @@ def collapse(text: Column) -> Column:
     text = _chain(_chain(text, "."), "")
     text = _unwrap(text)
     text = _chain(_chain(text, ":"), "/")
-    text = F.regexp_replace(text, r"(?<= )#<\*>(?= )", "<*>")
+    text = _if(text, " #<*> ", r"(?<= )#<\*>(?= )")
     for sep in (":", "#", "/", "@", "."):
         text = _chain(text, sep)
-    text = F.regexp_replace(text, r'(?<= )"<\*>"(?= )', "<*>")
+    text = _if(text, ' "<*>" ', r'(?<= )"<\*>"(?= )')
     return _chain(text, "")
 
 
@@ -87,9 +94,14 @@ def collapse_spaced(text: Column) -> Column:
 
 def key_values(text: Column) -> Column:
     """If there are several pairs and a value is <*>, then every k = v before another key or the end becomes k = <*>."""
-    found = F.regexp_extract_all(text, F.lit(UNICODE + r"(\b\w+)\s*=\s*([^\s;]*)?"), F.lit(2))
-    general = F.regexp_replace(text, UNICODE + r"(\b\w+)\s*=\s*([^=\s;]*)(?=\s+\w+\s*=|$)", "$1 = <*>")
-    return F.when((F.size(found) > 1) & F.array_contains(found, "<*>"), general).otherwise(text)
+
+    def general(t: Column) -> Column:
+        found = F.regexp_extract_all(t, F.lit(UNICODE + r"(\b\w+)\s*=\s*([^\s;]*)?"), F.lit(2))
+        # a pair needs its sign: other texts aren't searched
+        several = t.contains("=") & (F.size(found) > 1) & F.array_contains(found, "<*>")
+        return F.when(several, F.regexp_replace(t, UNICODE + r"(\b\w+)\s*=\s*([^=\s;]*)(?=\s+\w+\s*=|$)", "$1 = <*>")).otherwise(t)
+
+    return let(text, general)
 
 
 def correct_input(text: Column, user_strings: Sequence[str] = ()) -> Column:

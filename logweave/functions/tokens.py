@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import PAD, PARAM
+from .bind import let
 from .masking import UNICODE
 
 _PUNCTUATION = r"[,.!?;:]"
@@ -33,26 +34,30 @@ def _brackets(part: Column) -> Column:
 def split_token(token: Column) -> Column:
     """array<string>: punctuation peeled off the ends, then one split at = and :, =, : or +, then the bracket rule."""
     front = F.regexp_extract(token, f"^{_PUNCTUATION}+", 0)
-    rest = F.regexp_replace(token, f"^{_PUNCTUATION}+", "")
-    back = F.regexp_extract(rest, f"{_PUNCTUATION}+$", 0)
-    core = F.regexp_replace(rest, f"{_PUNCTUATION}+$", "")
 
     def spread(runs: Column) -> Column:
         return F.regexp_replace(runs, rf"({_PUNCTUATION})\1*", "$0 ")
 
-    def once(sign: str) -> Column:
-        # present, and never doubled unless it is there once only
-        return core.rlike(rf"^[^{sign}]*\{sign}[^{sign}]*$") | (core.contains(sign) & ~core.contains(sign * 2))
-
-    core = (
-        F.when(core.rlike("^[^=:]*=.*:"), F.regexp_replace(core, "^([^=:]*)=([^:]*):(.*)$", "$1 = $2 : $3"))
-        .when(core.rlike("^[^=:]*:.*="), F.regexp_replace(core, "^([^=:]*):([^=]*)=(.*)$", "$1 : $2 = $3"))
-        .when(once("="), F.regexp_replace(core, "^([^=]*)=(.*)$", "$1 = $2"))
-        .when(once(":"), F.regexp_replace(core, "^([^:]*):(.*)$", "$1 : $2"))
-        .when(once("+"), F.regexp_replace(core, r"^([^+]*)\+(.*)$", "$1 + $2"))
-        .otherwise(core)
-    )
-    parts = F.filter(F.split(F.concat(spread(front), core, F.lit(" "), spread(back)), " "), lambda p: p != "")
+    def cut(core: Column) -> Column:
+        def once(sign: str) -> Column:
+            # present, and never doubled unless it is there once only
+            return core.rlike(rf"^[^{sign}]*\{sign}[^{sign}]*$") | (core.contains(sign) & ~core.contains(sign * 2))
+
+        return (
+            F.when(core.rlike("^[^=:]*=.*:"), F.regexp_replace(core, "^([^=:]*)=([^:]*):(.*)$", "$1 = $2 : $3"))
+            .when(core.rlike("^[^=:]*:.*="), F.regexp_replace(core, "^([^=:]*):([^=]*)=(.*)$", "$1 : $2 = $3"))
+            .when(once("="), F.regexp_replace(core, "^([^=]*)=(.*)$", "$1 = $2"))
+            .when(once(":"), F.regexp_replace(core, "^([^:]*):(.*)$", "$1 : $2"))
+            .when(once("+"), F.regexp_replace(core, r"^([^+]*)\+(.*)$", "$1 + $2"))
+            .otherwise(core)
+        )
+
+    def peeled(rest: Column) -> Column:
+        core = let(F.regexp_replace(rest, f"{_PUNCTUATION}+$", ""), cut)
+        back = F.regexp_extract(rest, f"{_PUNCTUATION}+$", 0)
+        return F.filter(F.split(F.concat(spread(front), core, F.lit(" "), spread(back)), " "), lambda p: p != "")
+
+    parts = let(F.regexp_replace(token, f"^{_PUNCTUATION}+", ""), peeled)
     return F.filter(F.flatten(F.transform(parts, lambda p: F.split(_brackets(p), " "))), lambda p: p != "")
 
 
@@ -67,18 +72,21 @@ def tokens(content: Column) -> Column:
     as a token of its own. Wildcards next to each other become one.
     """
     spaced = F.replace(content, F.lit(","), F.lit(", "))
-    for pattern, by in ((r"\((?!\))", " ("), (r"(?<!\()\)", ") "), (UNICODE + r"\[(?!\s)", "[ "), (UNICODE + r"(?!\s)\]", " ]")):
-        spaced = F.regexp_replace(spaced, pattern, by)
-    first = words(spaced)
+
+    def where(sign: str, pattern: str, by: str):
+        # most contents have no such bracket
+        return lambda t: F.when(t.contains(sign), F.regexp_replace(t, pattern, by)).otherwise(t)
+
+    for sign, pattern, by in (("(", r"\((?!\))", " ("), (")", r"(?<!\()\)", ") "), ("[", UNICODE + r"\[(?!\s)", "[ "), ("]", UNICODE + r"(?!\s)\]", " ]")):
+        spaced = let(spaced, where(sign, pattern, by))
 
     def split(t: Column) -> Column:
         dotted = F.filter(F.split(F.regexp_replace(t, r"\.{2,}", " $0 "), " "), lambda p: p != "")
         wild = F.when(t.rlike(r"\.{2,}"), _generalise(dotted)).when(t.rlike(r"[=:{}()\[\],.+;]"), _generalise(split_token(t))).otherwise(F.array(F.lit(PARAM)))
-        return F.when(t == PARAM, F.array(t)).when(t.contains(PARAM), wild).otherwise(split_token(t))
+        return F.when(t == PARAM, F.array(t)).when(t.contains(PARAM), wild).when(t.rlike(r"[=:{}()\[\],.+;!?]"), split_token(t)).otherwise(F.array(t))
 
-    several = F.flatten(F.transform(first, split))
-    chosen = F.when(F.size(first) > 1, several).otherwise(first)
-    return F.filter(chosen, lambda t, i: ~((t == PARAM) & (i > 0) & (F.get(chosen, i - 1) == PARAM)))
+    several = let(words(spaced), lambda first: F.when(F.size(first) > 1, F.flatten(F.transform(first, split))).otherwise(first))
+    return let(several, lambda chosen: F.filter(chosen, lambda t, i: ~((t == PARAM) & (i > 0) & (F.get(chosen, i - 1) == PARAM))))
 
 
 def is_stable(token: Column) -> Column:

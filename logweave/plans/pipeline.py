@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import correct, masking, tokens
 from ..operators import extract, group, match, merge, metrics, split
+from ..operators.distinct import on_distinct
 from .state import settle
 
 LEAF = [*group.KEY, "leaf_id"]
@@ -28,9 +29,9 @@ def prepare(lines: DataFrame, masker: masking.Masker | None = None, filters: Seq
     text = masking.preprocess(F.trim(F.coalesce(F.col("content"), F.lit(""))), filters, patterns)
     text = (masker or masking.Masker(masking.WILDCARD_RULES)).mask(text)
     rows = lines.select("log_index", part["component"].alias("component"), part["level"].alias("level"), text.alias("content"))
-    rows = rows.withColumn("content", correct.correct_input(F.col("content"), user_strings))
-    rows = rows.withColumn("tokens", tokens.tokens(F.col("content")))
-    return rows.withColumn("content", F.array_join("tokens", " "))
+    # masking makes most lines equal; the rest is done once for each distinct content
+    rows = on_distinct(rows.withColumnRenamed("content", "masked"), "masked", {"tokens": lambda t: tokens.tokens(correct.correct_input(t, user_strings))})
+    return rows.select("log_index", "component", "level", F.array_join("tokens", " ").alias("content"), "tokens")
 
 
 def distinct_contents(prepared: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import correct, masking, params
 from ..functions import tokens as T
 from ..operators import extract, group, match, merge, metrics, similarity, split
+from ..operators.distinct import on_distinct
 from ..sources import logs
 from ..streaming.online import online
 from .pipeline import mine, prepare
@@ -96,8 +97,8 @@ def correct_contents(spark, sf_dir):
 
 @query(f"WITH {_LINES} SELECT log_index, regexp_replace({_CORRECTED}, '\\[preauth\\]', '[ preauth ]', 'g') AS content, len(string_split(regexp_replace({_CORRECTED}, '\\[preauth\\]', '[ preauth ]', 'g'), ' '))::BIGINT AS n_tokens FROM lines")
 def tokenise_contents(spark, sf_dir):
-    t = T.tokens(correct.correct_input(F.col("content")))
-    return lines(spark, sf_dir).select("log_index", t.alias("t")).select("log_index", F.array_join("t", " ").alias("content"), F.size("t").cast("long").alias("n_tokens"))
+    made = {"t": lambda content: T.tokens(correct.correct_input(content))}
+    return on_distinct(lines(spark, sf_dir).select("log_index", "content"), "content", made).select("log_index", F.array_join("t", " ").alias("content"), F.size("t").cast("long").alias("n_tokens"))
 
 
 @query(f"WITH {_LINES} SELECT regexp_replace(regexp_replace({_CORRECTED}, '<\\*>( <\\*>)+', '<*>', 'g'), ' +', ' ', 'g') AS template, count(*) AS n FROM lines GROUP BY 1")
