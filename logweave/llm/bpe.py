@@ -27,7 +27,7 @@ _NEVER = np.int64(1) << 62
 _FAR = 1 << 80
 
 #: Bytes of distinct words that a worker remembers (those asked for lately twice), and letters of the longest of them.
-MEMORY, LONGEST = 40 << 20, 64
+MEMORY, LONGEST = 96 << 20, 64
 HEAD = 4  # letters of a token's beginning by which the longest is looked up
 #: What a remembered word costs besides its letters, and each of its tokens.
 _ENTRY, _TOKEN = 200, 8
