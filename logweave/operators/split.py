@@ -19,6 +19,14 @@ def token_counts(rows: DataFrame, key: list[str], weight: str = "n") -> DataFram
     return rows.select(*key, weight, F.posexplode("tokens").alias("pos", "tok")).groupBy(*key, "pos", "tok").agg(F.sum(weight).alias("c"))
 
 
+def top_tokens(rows: DataFrame, key: list[str], n: int = 5, weight: str = "n", first: str = "first_index") -> DataFrame:
+    """(key, pos, place, tok, c): the ``n`` commonest tokens at each position; of equals, those seen first, then by text."""
+    each = rows.select(*key, weight, first, F.posexplode("tokens").alias("pos", "tok"))
+    counts = each.groupBy(*key, "pos", "tok").agg(F.sum(weight).alias("c"), F.min(first).alias("_first"))
+    order = Window.partitionBy(*key, "pos").orderBy(F.desc("c"), "_first", "tok")
+    return counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).select(*key, "pos", "place", "tok", "c")
+
+
 def position_stats(counts: DataFrame, key: list[str]) -> DataFrame:
     """(key, pos, total, types, entropy, entropy_norm, types_norm, stable, wild) of token counts; entropy in nats."""
     total = F.sum("c").over(Window.partitionBy(*key, "pos"))

@@ -7,17 +7,22 @@ default; several give what streaming gives.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import correct, masking, tokens
 from ..operators import extract, group, match, merge, metrics, split
 from ..operators.distinct import on_distinct
+from ..sources import config, logs
+from .profiler import NullProfiler, Profiler
 from .state import settle
 
+#: The phases that a profiler times.
+PHASES = MATCHING, GROUPING, EXTRACTION, MERGING = "matching", "grouping", "extraction", "merging"
 LEAF = [*group.KEY, "leaf_id"]
 CLUSTER = [*LEAF, "branch"]
 
@@ -77,26 +82,30 @@ def _extracted(clusters: DataFrame, provider: extract.TemplateProvider, known: C
     return placed.select("component", "level", "content", "template", place.alias("rank"))
 
 
-def mine_chunk(prepared: DataFrame, state: State | None = None, last: bool = True, depth: int = 500, provider: extract.TemplateProvider | None = None, known: Callable[[Column], Column] = tokens.in_vocabulary, combine: merge.Combine | None = None) -> State:
-    """The state after one more chunk of prepared lines."""
-    state = state or State()
+def mine_chunk(prepared: DataFrame, state: State | None = None, last: bool = True, depth: int = 500, provider: extract.TemplateProvider | None = None, known: Callable[[Column], Column] = tokens.in_vocabulary, combine: merge.Combine | None = None, profiler: Profiler | NullProfiler | None = None) -> State:
+    """The state after one more chunk of prepared lines; ``profiler`` times the four ``PHASES``."""
+    state, timer = state or State(), profiler or NullProfiler()
     keys = ["component", "level", "content"]
-    distinct = settle(distinct_contents(prepared))
-    fresh, hits = distinct, None
-    if state.templates is not None:
-        found = settle(match.match_templates(distinct.select("content", "tokens"), state.templates))
-        hits = distinct.join(found, "content").select(*keys, "template_id")
-        fresh = match.unmatched(distinct, found)
+    hits = None
+    with timer.section(MATCHING):
+        distinct = fresh = settle(distinct_contents(prepared))
+        if state.templates is not None:
+            found = settle(match.match_templates(distinct.select("content", "tokens"), state.templates))
+            hits = distinct.join(found, "content").select(*keys, "template_id")
+            fresh = match.unmatched(distinct, found)
     if state.pending is not None:
         both = fresh.select(*keys, "tokens", "n", "first_index").unionByName(state.pending)
         fresh = both.groupBy(*keys).agg(F.first("tokens").alias("tokens"), F.sum("n").alias("n"), F.min("first_index").alias("first_index"))
-    leaves = settle(group.ready(group.coarse_groups(fresh, depth), last))
-    clusters = settle(_fine(leaves.filter("ready").drop("ready")))
+    with timer.section(GROUPING):
+        leaves = settle(group.ready(group.coarse_groups(fresh, depth), last))
+        clusters = settle(_fine(leaves.filter("ready").drop("ready")))
     pending = leaves.filter("NOT ready").select(*keys, "tokens", "n", "first_index")
-    extracted = settle(_extracted(clusters, provider or extract.NullProvider(), known))
+    with timer.section(EXTRACTION):
+        extracted = settle(_extracted(clusters, provider or extract.NullProvider(), known))
     new = extracted.select("rank", "template").distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("rank")).cast("long"))
-    new = settle(new)
-    placed = settle(merge.merge_fold(new.select("ordinal", "template"), state.templates, combine))
+    with timer.section(MERGING):
+        new = settle(new)
+        placed = settle(merge.merge_fold(new.select("ordinal", "template"), state.templates, combine))
     templates = placed.select("template_id", "template").distinct()
     mined = extracted.join(new.select("rank", "ordinal"), "rank").join(placed.filter("ordinal IS NOT NULL").select("ordinal", "template_id"), "ordinal").select(*keys, "template_id")
     moved = placed.filter("old_id IS NOT NULL").select(F.col("old_id").alias("_old"), F.col("template_id").alias("_new"))
@@ -150,5 +159,23 @@ def mine(lines: DataFrame, chunk_size: int | None = None, masker: masking.Masker
 def evaluate(lines: DataFrame, truth: DataFrame, **options) -> DataFrame:
     """One row of scores of ``lines`` mined against (log_index, event, event_template)."""
     found, _ = mine(lines, **options)
+    return _scores(found, truth)
+
+
+def _scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     scored = found.select("log_index", F.col("template_id").cast("string").alias("parsed"), "template").join(truth, "log_index")
     return metrics.accuracy(scored)
+
+
+def evaluate_dataset(spark: SparkSession, dataset: str, paths: dict[str, str], **options) -> dict:
+    """A run's row, with the names of ``METRICS``: a registered dataset's labelled lines, mined by its rules and scored."""
+    rules = config.DATASETS[dataset]
+    structured = logs.read_structured(spark, paths["structured"])
+    truth = structured.select(F.col("LineId").cast("long").alias("log_index"), F.col("EventId").alias("event"), F.col("EventTemplate").alias("event_template"))
+    timer, began = Profiler(), time.perf_counter()
+    found, templates = mine(logs.engine_lines(structured), filters=rules.filters, patterns=rules.patterns, profiler=timer, **options)
+    found = settle(found)
+    took = time.perf_counter() - began
+    score = _scores(found, truth).first()
+    phases = dict(zip(("Match", "Group", "Extract", "Correct"), (timer.seconds[p] for p in PHASES), strict=True))
+    return {"Dataset": dataset, **{k: score[k] for k in ("GA", "PA", "FGA", "FTA")}, "Dura": took, "#Line": score.n_lines, "#Tpl": templates.count(), "#Invoke": 0, "#Tokens": 0, **phases}

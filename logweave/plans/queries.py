@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import correct, masking, params
 from ..functions import tokens as T
-from ..operators import extract, group, match, merge, metrics, similarity, split
+from ..operators import extract, group, match, merge, metrics, sample, similarity, split
 from ..operators.distinct import on_distinct
-from ..sources import logs
+from ..sources import config, logs
 from ..streaming.online import online
 from .pipeline import mine, prepare
 from .state import settle
@@ -321,18 +321,91 @@ def coarse_groups(spark, sf_dir):
     return group.coarse_groups(distinct).groupBy("component", "level", "n_tokens", "leaf_id").agg(F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_contents"))
 
 
-@query()
+_ENTROPY = """es AS (SELECT n, pos, count(*) AS types, -sum(c / tot * log2(c / tot)) AS h, min(tok) AS one,
+    bool_or(NOT regexp_matches(tok, '^[A-Za-z][a-z]+$') AND NOT regexp_matches(tok, '^[a-z]+(_[a-z]+)+$') AND NOT regexp_matches(tok, '^[a-zA-Z]+([A-Z][a-z0-9]+)+$')) AS odd
+  FROM (SELECT *, sum(c) OVER (PARTITION BY n, pos) AS tot FROM pos) GROUP BY n, pos),
+er AS (SELECT n, pos, CASE WHEN types > 1 AND round(h / log2(types), 12) * (types - 1) / 4 >= 0.8 THEN '<*>' WHEN types = 1 THEN one WHEN odd AND h > 1.8 THEN '<*>' END AS token FROM es),
+et AS (SELECT n, CASE WHEN count(token) = count(*) AND bool_or(token <> '<*>') THEN string_agg(token, ' ' ORDER BY pos) END AS template FROM er GROUP BY n)"""
+
+
+@query(f"{_WITH}, {_POS}, {_ENTROPY} SELECT n AS n_tokens, CASE WHEN count(DISTINCT content) = 1 THEN min(content) ELSE min(template) END AS template FROM tok JOIN et USING (n) GROUP BY n")
 def entropy_templates(spark, sf_dir):
     return extract.entropy_templates(by_length(spark, sf_dir), ["n_tokens"])
 
 
-@query()
+@query(f"{_WITH}, each AS (SELECT n, pos, t[pos + 1] AS tok, count(*) AS c, min(log_index) AS first FROM tok, LATERAL (SELECT unnest(range(0, n)) AS pos) GROUP BY ALL) SELECT n AS n_tokens, pos, place, tok, c FROM (SELECT *, row_number() OVER (PARTITION BY n, pos ORDER BY c DESC, first, tok) AS place FROM each) WHERE place <= 5")
+def top_tokens(spark, sf_dir):
+    found = split.top_tokens(by_length(spark, sf_dir), ["n_tokens"])
+    return found.select("n_tokens", F.col("pos").cast("long").alias("pos"), F.col("place").cast("long").alias("place"), "tok", "c")
+
+
+#: Rows that the sampling operator is asked for.
+SAMPLE = 400
+
+
+@query(
+    f"WITH {_LINES}, s AS (SELECT truth, count(*) AS c FROM lines GROUP BY 1), sh AS (SELECT truth, round_even(c / (SELECT sum(c) FROM s) * {float(SAMPLE)}, 0) AS share FROM s) "
+    "SELECT log_index, truth FROM (SELECT l.log_index, l.truth, share, row_number() OVER (PARTITION BY l.truth ORDER BY md5(concat('42:', l.log_index)), l.log_index) AS place FROM lines l JOIN sh ON l.truth = sh.truth) WHERE place <= share"
+)
+def stratified_sample(spark, sf_dir):
+    rows = sample.stratified_sample(lines(spark, sf_dir).select("log_index", "truth"), "truth", "log_index", SAMPLE)
+    return sample.shuffled(rows, "log_index")
+
+
+#: Datasets whose rules are applied to lines, one column for each.
+_RULED = ("HDFS", "OpenStack", "Spark", "Zookeeper", "Thunderbird", "Linux", "Andriod", "Apache", "Proxifier", "OpenSSH", "Mac")
+
+
+def _ruled_sql(name: str) -> str:
+    text = "line"
+    for pattern, to in [*((p, "") for p in config.DATASETS[name].filters), *((p, "<*>") for p in config.DATASETS[name].patterns)]:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return f'{text} AS "{name}"'
+
+
+#: A line with something for the rules of every dataset.
+_RICH = """concat(content, ' (', event_id % 7, ' KB) ', user_id, 'ms ', user_id, ' MB _C', event_id % 5, ' ::ffff:10.0.0.', event_id % 9, ' LOCAL(', event_id, ') a_b:c:d HTTP/1.', event_id % 2,
+  ' a-b-c-d-', event_id, ' 10.0.0.1,10.0.0.', event_id % 9, ' 0aF', event_id, ' www.ab-c', user_id, '.example.org:443 <', event_id, ' sec 12:34:', 10 + event_id % 50, ' 0a:1b:2c:3d:4e:5f (IPv6) blk_-', event_id, ' /usr/lib/x', user_id, '.so')"""
+
+
+@query(f"WITH {_LINES} SELECT log_index, {', '.join(map(_ruled_sql, _RULED))} FROM (SELECT log_index, {_RICH} AS line FROM lines)")
+def dataset_rules(spark, sf_dir):
+    """The filters and patterns of every registered dataset that has some."""
+    rows = lines(spark, sf_dir).selectExpr("log_index", f"{_RICH} AS line")
+    return rows.select("log_index", *[masking.preprocess(F.col("line"), config.DATASETS[d].filters, config.DATASETS[d].patterns).alias(d) for d in _RULED])
+
+
+@query("SELECT count(*) AS total_size FROM events")
+def total_cluster_size(spark, sf_dir):
+    """The sizes of all online clusters add up to the lines."""
+    changes = online(lines(spark, sf_dir).select("log_index", "content"), depth=10, threshold=0.4)
+    return metrics.total_size(changes.groupBy("cluster_id").agg(F.max("cluster_size").alias("n_matched")))
+
+
+@query(f"WITH {_LINES} SELECT row_number() OVER (ORDER BY truth) AS ordinal, row_number() OVER (ORDER BY truth) AS template_id, truth AS template FROM (SELECT DISTINCT truth FROM lines)")
 def merge_fold(spark, sf_dir):
+    """Templates of which no two are compatible: each keeps its place."""
     rows = lines(spark, sf_dir).select("truth").distinct()
     new = rows.withColumn("ordinal", F.row_number().over(Window.orderBy("truth")).cast("long")).withColumnRenamed("truth", "template")
     return merge.merge_fold(new).select("ordinal", "template_id", "template")
 
 
+_SPECIAL = "concat('user <*> action ', event_type, ' took <*> ms')"
+_GENERAL = "user <*> action <*> took <*> ms"
+
+
+@query(
+    f"WITH t AS (SELECT template, row_number() OVER (ORDER BY template = '{_GENERAL}', template) AS ordinal FROM (SELECT {_SPECIAL} AS template FROM events UNION SELECT concat('closed ', event_type) FROM events UNION SELECT '{_GENERAL}')) "
+    f"SELECT ordinal, CASE WHEN template LIKE 'user%' THEN max(ordinal) OVER () ELSE ordinal END AS template_id, CASE WHEN template LIKE 'user%' THEN '{_GENERAL}' ELSE template END AS template FROM t"
+)
+def merge_fold_absorbs(spark, sf_dir):
+    """A general template that comes last takes in the special ones, and leaves alone what doesn't fit it."""
+    kinds = table(spark, sf_dir, "events").selectExpr("event_type").distinct()
+    made = kinds.selectExpr(f"explode(array({_SPECIAL}, concat('closed ', event_type), '{_GENERAL}')) AS template").distinct()
+    order = Window.orderBy(F.col("template") == _GENERAL, "template")
+    return merge.merge_fold(made.withColumn("ordinal", F.row_number().over(order).cast("long"))).select("ordinal", "template_id", "template")
+
+
 @query()
 def online_clusters(spark, sf_dir):
     rows = lines(spark, sf_dir).select("log_index", "content")

@@ -112,6 +112,34 @@ FORMATS = {
     "Thunderbird_epd": r"<Label> <Timestamp> <Date> <User> <Month> <Day> <Time> <Location> <Component>(\[<PID>\])?: <Content>",
     "Audit": r"type=<Type> msg=audit\(<Time>\): <Content>",
 }
+# What each collection's lines lose (filters) and what becomes <*> in them (patterns), in order.
+FILTERS = {"OpenStack": [r"HTTP\/\d+\.\d+"]}
+PATTERNS = {
+    "OpenStack": [r"(\w+-\w+-\w+-\w+-\w+)", r"HTTP\/\d+\.\d+", r"(?:\d{1,3}\.){3}\d{1,3},(?:\d{1,3}\.){3}\d{1,3}"],
+    "HDFS": [r"blk_-?\d+"],
+    "Spark": [r"\b\d+\s*(B|KB|MB|GB)\b"],
+    "Zookeeper": [r"\b\d+ms\b"],
+    "Thunderbird": [r"::ffff:(?:\d{1,3}\.){3}\d{1,3}", r"(\d+\.){3}\d+", r"\bLOCAL\(\d+\)", r"_([A-Z]\d+)", r"\b\d+(B|kB|mB)\b"],
+    "Linux": [r"[a-z_]+:[a-z_]+:[a-z_]+"],
+    "Andriod": [r"(/[\w-]+)+", r"([\w-]+\.){2,}[\w-]+", r"\b(\-?\+?\d+)\b|\b0[Xx][a-fA-F\d]+\b|\b[a-fA-F\d]{4,}\b", r"-\<\*\>"],
+    "Apache": [r"\/(?:\w+\/){2,}\w+\.\w+$"],
+    "Proxifier": [r"\(\d+(\.\d+)?\s(?:K|M|G|T)B\)", r"\(IPv[46]\)", r"<\d+\ssec", r"([\w-]+\.)+[\w-]+(:\d+)?", r"\d{2}:\d{2}(:\d{2})*"],
+    "OpenSSH": [r"(\d+\.){3}\d+", r"([\w-]+\.){2,}[\w-]+", r"(\.\d+){2,}"],
+    "Mac": [r"([\w-]+\.){2,}[\w-]+", r"([a-f0-9]{2}:){5}[a-f0-9]{2}"],
+}
+
+
+@dataclass(frozen=True)
+class Dataset:
+    """A registered collection: its header format and its own rules."""
+
+    name: str
+    format: str
+    filters: tuple[str, ...] = ()
+    patterns: tuple[str, ...] = ()
+
+
+DATASETS = {name: Dataset(name, fmt, tuple(FILTERS.get(name, ())), tuple(PATTERNS.get(name, ()))) for name, fmt in FORMATS.items()}
 #: Folder suffix and file marker of each mode.
 MODES = {"2K": ("loghub-2K", "2k"), "FULL": ("datasets_full", "full"), "FULL50K": ("datasets_50K", "50K"), "FULL50KRAW": ("datasets_50K", "50K"), "LOGBASE": ("logbase", "full")}
 

@@ -234,3 +234,53 @@ def test_profiler():
     assert p.count["part"] == 3 and len(said) == 2
     with NullProfiler().section("x"):
         pass
+
+
+def test_dataset_evaluation_and_command_line(spark, tmp_path, capsys):
+    from logweave.__main__ import main
+
+    folder = tmp_path / "loghub-2K" / "HDFS"
+    folder.mkdir(parents=True)
+    rows = ["LineId,Level,Component,Content,EventId,EventTemplate"]
+    rows += [f"{i},INFO,dn,Received block blk_{'-' * (i % 2)}{900 + i} now,E1,Received block <*> now" for i in range(1, 21)]
+    rows += [f"{i},INFO,dn,all is well,E2,all is well" for i in range(21, 31)]
+    (folder / "HDFS_2k.log_structured_corrected.csv").write_text("\n".join(rows) + "\n")
+    (line,) = main([str(tmp_path), "--dataset", "HDFS"])
+    run = metrics.parse_results(spark.createDataFrame([(line,)], "value string")).first()
+    assert (run["Dataset"], run["GA"], run["PA"], run["FGA"], run["FTA"], run["#Line"], run["#Tpl"]) == ("HDFS", 1, 1, 1, 1, 30, 2)
+    assert run["Group"] > 0 and run["Extract"] > 0 and run["Match"] + run["Group"] + run["Extract"] + run["Correct"] <= run["Dura"] + 0.05
+    assert line in capsys.readouterr().out
+
+
+def test_registry():
+    assert config.DATASETS.keys() == config.FORMATS.keys() and len(config.DATASETS) == 18
+    assert config.FILTERS.keys() | config.PATTERNS.keys() <= config.DATASETS.keys()
+    assert config.DATASETS["OpenStack"].filters and not config.DATASETS["BGL"].patterns
+
+
+def test_top_tokens(spark):
+    rows = spark.createDataFrame([("k", ["a", "x"], 2, 5), ("k", ["b", "x"], 2, 1), ("k", ["c"], 1, 0)], "key string, tokens array<string>, n long, first_index long")
+    found = {(r.pos, r.place): (r.tok, r.c) for r in split.top_tokens(rows, ["key"], 2).collect()}
+    assert found == {(0, 1): ("b", 2), (0, 2): ("a", 2), (1, 1): ("x", 4)}
+    assert split.top_tokens(rows.limit(0), ["key"]).count() == 0
+
+
+def test_stratified_sample(spark):
+    from logweave.operators import sample
+
+    rows = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'big' WHEN id % 30 = 0 THEN null ELSE 'small' END AS kind", "'x' AS _n")
+    found = sample.stratified_sample(rows.repartition(7), "kind", "id", 300).collect()
+    assert len({r.id for r in found}) == len(found)
+    counts = {k: sum(r.kind == k for r in found) for k in ("big", "small", None)}
+    assert counts == {"big": 200, "small": 90, None: 10}
+    again = sample.stratified_sample(rows, "kind", "id", 300)
+    assert {r.id for r in again.collect()} == {r.id for r in found}
+    order = [r.id for r in sample.shuffled(again, "id").collect()]
+    assert order != sorted(order) and order == [r.id for r in sample.shuffled(again.repartition(5), "id").collect()]
+    assert sample.stratified_sample(rows, "kind", "id", 9000).count() == 3000
+    assert sample.stratified_sample(rows.limit(0), "kind", "id", 10).count() == 0
+
+
+def test_total_size(spark):
+    sizes = spark.createDataFrame([(3,), (4,)], "n_matched long")
+    assert [metrics.total_size(x).first().total_size for x in (sizes, sizes.limit(0))] == [7, 0]
