@@ -406,6 +406,69 @@ def merge_fold_absorbs(spark, sf_dir):
     return merge.merge_fold(made.withColumn("ordinal", F.row_number().over(order).cast("long"))).select("ordinal", "template_id", "template")
 
 
+#: Lines of uneven and short lengths, and the templates they are matched with.
+_UNEVEN = """CASE event_id % 6 WHEN 0 THEN concat('job ', event_type, ' has ended now') WHEN 1 THEN concat('job ', event_type, ' a b has ended now')
+  WHEN 2 THEN concat('job ', event_type, ' <*> ', event_id % 7, ' has ended now') WHEN 3 THEN 'halt' WHEN 4 THEN 'stop now' ELSE concat('job long_run ', user_id % 11, ' has ended ', CASE WHEN user_id % 2 = 0 THEN 'now' ELSE 'late' END) END"""
+_FITTING = {1: "job <*> has ended now", 2: "halt", 3: "stop now", 4: "job <*> has <*> late"}
+
+
+@query(
+    f"WITH c AS (SELECT DISTINCT {_UNEVEN} AS content FROM events), cap AS (SELECT content, string_split(regexp_extract(content, '^job (.*) has ended (now|late)$', 1), ' ') AS v FROM c) "
+    "SELECT content, CASE WHEN content = 'halt' THEN 2 WHEN content = 'stop now' THEN 3 WHEN content LIKE '% late' THEN 4 ELSE 1 END::BIGINT AS template_id FROM cap "
+    "WHERE content IN ('halt', 'stop now') OR len(v) = 1 OR len(list_filter(v, lambda x: regexp_matches(x, '^[a-z]+(_[a-z]+)+$'))) = 0"
+)
+def match_uneven_lengths(spark, sf_dir):
+    """A wildcard may stand for several tokens unless one is in snake case; lines under three tokens have keys too."""
+    contents = table(spark, sf_dir, "events").selectExpr(f"{_UNEVEN} AS content").distinct()
+    templates = spark.createDataFrame(list(_FITTING.items()), "template_id long, template string")
+    return match.match_templates(contents.withColumn("tokens", T.words(F.col("content"))), templates)
+
+
+_SPELT = "explode(array(p_type, lower(p_type), replace(p_type, ' ', '_'), lower(replace(p_type, ' ', '_')), replace(initcap(p_type), ' ', ''), concat(p_brand, p_size))) AS w"
+_CAMEL = "concat(upper(x[1]), lower(x[2:]))"
+
+
+@query(
+    f"WITH w AS (SELECT DISTINCT unnest([p_type, lower(p_type), replace(p_type, ' ', '_'), lower(replace(p_type, ' ', '_')), array_to_string(list_transform(string_split(p_type, ' '), lambda x: {_CAMEL}), ''), concat(p_brand, p_size)]) AS w FROM part), "
+    "p AS (SELECT w, regexp_extract_all(w, '[a-z]+|[A-Z][a-z0-9]*') AS parts FROM w) "
+    "SELECT w, regexp_matches(w, '^[a-zA-Z]+(_[a-zA-Z]+)+$') AS snake, regexp_matches(w, '^[a-zA-Z]+([A-Z][a-z0-9]+)+(\\(\\))?$') AND len(parts) >= 2 AND len(list_filter(parts, lambda x: regexp_matches(x, '^[A-Za-z][a-z]+$'))) > 0 AS camel, "
+    "NOT regexp_matches(w, '[0-9a-z]') AS capital FROM p"
+)
+def word_cases(spark, sf_dir):
+    words = table(spark, sf_dir, "part").selectExpr(_SPELT).distinct()
+    return words.select("w", T.is_snake(F.col("w")).alias("snake"), T.is_camel(F.col("w")).alias("camel"), T.is_all_capital(F.col("w")).alias("capital"))
+
+
+#: Customers are linked with the one so many places further on, which gives as many chains.
+_CHAINS = 25
+
+
+@query(f"WITH l AS (SELECT c_custkey AS id, min(c_custkey) OVER () AS low, count(*) OVER () AS n FROM customer) SELECT id, min(id) OVER (PARTITION BY (id - low) % {_CHAINS}) AS component FROM l WHERE n > {_CHAINS}")
+def connected_components(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").selectExpr("c_custkey AS a")
+    links = ids.join(ids.select(F.col("a").alias("b")), F.col("a") + _CHAINS == F.col("b"))
+    return similarity.connected(links, settle)
+
+
+@query(
+    f"WITH {_SIMILAR}, d AS (SELECT len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) AS similarity FROM s x JOIN s y ON x.id < y.id) "
+    "SELECT round(max(similarity), 9) AS most, round(min(similarity), 9) AS least, round(avg(similarity), 9) AS mean FROM d WHERE similarity >= 0.6"
+)
+def similarity_stats(spark, sf_dir):
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "split(concat(p_name, ' ', p_brand, ' ', p_type, ' ', p_size), ' ') AS tokens")
+    return similarity.pair_stats(similarity.similar_pairs(part, 0.6)).select(*[F.round(c, 9).alias(c) for c in ("most", "least", "mean")])
+
+
+@query(
+    f"{_WITH}, e AS (SELECT n, string_split(min(content), ' ') AS a, string_split(max(content), ' ') AS b FROM tok GROUP BY n) "
+    "SELECT n AS n_tokens, array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN a[i] = b[i] THEN a[i] ELSE '<*>' END), ' ') AS template FROM e"
+)
+def pair_templates(spark, sf_dir):
+    """What the first and the last content of each length have in common."""
+    ends = by_length(spark, sf_dir).groupBy("n_tokens").agg(F.min_by("tokens", "content").alias("a"), F.max_by("tokens", "content").alias("b"))
+    return ends.select("n_tokens", F.array_join(T.pair_template(F.col("a"), F.col("b")), " ").alias("template"))
+
+
 @query()
 def online_clusters(spark, sf_dir):
     rows = lines(spark, sf_dir).select("log_index", "content")

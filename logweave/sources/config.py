@@ -44,6 +44,11 @@ class Config:
     def llm_key(self) -> str | None:
         return os.environ.get("LLM_API_KEY")
 
+    @property
+    def online_options(self) -> dict:
+        """What ``streaming.online.online`` takes of it."""
+        return {"delimiters": self.extra_delimiters, "depth": self.depth, "threshold": self.sim_th, "max_children": self.max_children, "numeric_wildcards": self.parametrize_numeric_tokens}
+
     @property
     def masker(self) -> Masker:
         return Masker(self.masking, self.mask_prefix, self.mask_suffix)

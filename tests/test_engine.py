@@ -284,3 +284,12 @@ def test_stratified_sample(spark):
 def test_total_size(spark):
     sizes = spark.createDataFrame([(3,), (4,)], "n_matched long")
     assert [metrics.total_size(x).first().total_size for x in (sizes, sizes.limit(0))] == [7, 0]
+
+
+def test_configured_online_engine(spark, tmp_path):
+    path = tmp_path / "miner.ini"
+    path.write_text("[DRAIN]\nengine = online\nsim_th = 0.9\nextra_delimiters = ['=']\n")
+    options = config.load_config(str(path)).online_options
+    assert options["threshold"] == 0.9 and options["depth"] == 4
+    rows = online(log_lines(spark, ["a=1 is up", "a=2 is up", "a=2 is up"]), **options).orderBy("log_index").collect()
+    assert [r.total_cluster_count for r in rows] == [1, 2, 2]
