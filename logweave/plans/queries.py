@@ -207,10 +207,15 @@ def online_match(spark, sf_dir):
 _SIMILAR = "s AS (SELECT p_partkey AS id, list_distinct(string_split(concat(p_name, ' ', p_brand, ' ', p_type, ' ', p_size), ' ')) AS t FROM part)"
 
 
+def _part_tokens(spark, sf_dir):
+    """As in the SQL, where concat passes over nulls."""
+    words = ", ' ', ".join(f"coalesce(cast({c} AS string), '')" for c in ("p_name", "p_brand", "p_type", "p_size"))
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"split(concat({words}), ' ') AS tokens")
+
+
 @query(f"WITH {_SIMILAR} SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 9) AS similarity FROM s x JOIN s y ON x.id < y.id WHERE len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.8")
 def similar_pairs(spark, sf_dir):
-    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "split(concat(p_name, ' ', p_brand, ' ', p_type, ' ', p_size), ' ') AS tokens")
-    return similarity.similar_pairs(part, 0.8).withColumn("similarity", F.round("similarity", 9))
+    return similarity.similar_pairs(_part_tokens(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"{_WITH}, {_POS}, {_TEMPLATES} SELECT log_index, round(len(list_filter(range(1, tok.n + 1), lambda i: tt[i] = t[i])) / tok.n, 9) AS similarity, len(list_filter(tt, lambda x: x = '<*>'))::BIGINT AS n_wildcards FROM tok JOIN tpl USING (n)")
@@ -455,8 +460,7 @@ def connected_components(spark, sf_dir):
     "SELECT round(max(similarity), 9) AS most, round(min(similarity), 9) AS least, round(avg(similarity), 9) AS mean FROM d WHERE similarity >= 0.6"
 )
 def similarity_stats(spark, sf_dir):
-    part = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "split(concat(p_name, ' ', p_brand, ' ', p_type, ' ', p_size), ' ') AS tokens")
-    return similarity.pair_stats(similarity.similar_pairs(part, 0.6)).select(*[F.round(c, 9).alias(c) for c in ("most", "least", "mean")])
+    return similarity.pair_stats(similarity.similar_pairs(_part_tokens(spark, sf_dir), 0.6)).select(*[F.round(c, 9).alias(c) for c in ("most", "least", "mean")])
 
 
 @query(

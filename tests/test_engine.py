@@ -1,7 +1,9 @@
 """Operators, plans, sources and streaming on small inputs."""
 
 import json
+import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from logweave.functions.masking import Masker
 from logweave.operators import extract, match, merge, metrics, similarity, split
 from logweave.plans.pipeline import evaluate, mine
 from logweave.plans.profiler import NullProfiler, Profiler
+from logweave.plans.queries import ORACLES, QUERIES
 from logweave.plans.state import settle
 from logweave.sources import config, logs
 from logweave.streaming.chunks import StreamMiner
@@ -105,6 +108,66 @@ def test_similarity(spark):
     assert {r.id: r.cluster for r in similarity.semantic_clusters(rows, settle).collect()}[4] == 1
 
 
+def brute_pairs(rows, threshold):
+    known = [(i, set(t)) for i, t in rows if i is not None and t]
+    both = [(a, b, len(x & y) / len(x | y)) for i, (a, x) in enumerate(known) for b, y in known[i + 1 :] if a != b]
+    return sorted((min(a, b), max(a, b), s) for a, b, s in both if s >= threshold)
+
+
+@pytest.mark.parametrize("threshold", [0.35, 0.55, 0.6, 0.8, 1.0])
+def test_similar_pairs_of_any_sizes(spark, threshold):
+    draw = random.Random(7)
+    rows = [(i, [draw.choice("abcdefghijklm") for _ in range(draw.randint(0, 14))]) for i in range(220)]
+    rows += [(300, ["a", "b"]), (300, ["a", "b", "c"]), (301, ["b", "a", "a"]), (None, ["a", "b"]), (302, None)]  # a repeated and a missing id
+    lines = spark.createDataFrame(rows, "id long, tokens array<string>")
+    want = brute_pairs(rows, threshold)
+    assert sorted(tuple(r) for r in similarity.similar_pairs(lines, threshold).collect()) == want
+    # with and without repeated ids
+    for some in (lines, lines.filter("id < 300")):
+        kept = [s for a, b, s in want if some is lines or b < 300]
+        (got,) = similarity.similar_pair_stats(some, threshold).collect()
+        assert (got.most, got.least) == (max(kept, default=None), min(kept, default=None))
+        assert got["mean"] == pytest.approx(sum(kept) / len(kept)) if kept else got["mean"] is None
+
+
+def test_similar_pairs_reach_the_threshold(spark):
+    long, short = [f"w{i}" for i in range(20)], [f"w{i}" for i in range(11)]  # 11 / 20 is 0.55, but 20 * 0.55 is over 11
+    lines = spark.createDataFrame([(1, long), (2, short)], "id long, tokens array<string>")
+    assert [tuple(r) for r in similarity.similar_pairs(lines, 0.55).collect()] == [(1, 2, 0.55)]
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    kinds = [f"{a} {b} x y".split() for a in "abcdefghij" for b in "klmnopqrst"]
+    rows = [(i, kinds[i % 100]) for i in range(3_000)]
+    lines = spark.createDataFrame(rows, "id long, tokens array<string>")
+    _, sets, pairs = similarity._similar_sets(lines, 0.6, "id")
+    assert sets.count() == 100 and pairs.count() == 100 * 18 // 2
+    (got,) = similarity.similar_pair_stats(lines, 0.6).collect()
+    same, near = 100 * 30 * 29 // 2, 900 * 30 * 30
+    assert got["mean"] == pytest.approx((same + near * 0.6) / (same + near)) and got.most == 1 and got.least == 0.6
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    found = similarity.similar_pairs(lines, 0.8).collect()
+    assert len({(r.a, r.b) for r in found}) == len(found) == same and all(r.a < r.b and r.a % 100 == r.b % 100 for r in found)
+
+
+def test_keys_are_rare(spark):
+    assert similarity.key_plan([5], 0.8) == []  # of five tokens each, only equal sets reach 0.8
+    assert {(n, side, len(at)) for n, _, side, _, at in similarity.key_plan([5], 0.6)} == {(5, False, 5), (5, True, 5)}  # four of five
+    assert all(at is None or len(at) <= similarity.KEYS for *_, at in similarity.key_plan(list(range(1, 300)), 0.5))
+
+
+@pytest.mark.parametrize("name", ["similar_pairs", "similarity_stats"])
+def test_parts_with_nulls(spark, tmp_path, name):
+    parts = [(1, None, "B#1", "X", 1), (2, None, "B#1", "X", 1), (3, "red ring", "B#1", None, 2), (4, "red ring", "B#1", None, 2), (5, "red ring", "B#2", None, 2), (None, "red ring", "B#2", None, 2)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    cursor = con.execute(ORACLES[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(cursor.fetchall())
+    assert want and sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect()) == want
+
+
 TEXTS = [f"session opened for user u{i} from 10.0.0.{i % 5}" for i in range(40)] + [f"disk sda{i} has {i * 7} bytes free" for i in range(40)] + ["all is well"] * 3
 
 
