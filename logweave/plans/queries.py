@@ -460,7 +460,7 @@ def connected_components(spark, sf_dir):
     "SELECT round(max(similarity), 9) AS most, round(min(similarity), 9) AS least, round(avg(similarity), 9) AS mean FROM d WHERE similarity >= 0.6"
 )
 def similarity_stats(spark, sf_dir):
-    return similarity.pair_stats(similarity.similar_pairs(_part_tokens(spark, sf_dir), 0.6)).select(*[F.round(c, 9).alias(c) for c in ("most", "least", "mean")])
+    return similarity.similar_pair_stats(_part_tokens(spark, sf_dir), 0.6).select(*[F.round(c, 9).alias(c) for c in ("most", "least", "mean")])
 
 
 @query(
