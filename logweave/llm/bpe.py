@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,12 +30,22 @@ _FAR = 1 << 80
 #: Bytes of distinct words that a worker remembers (those asked for lately twice), and letters of the longest of them.
 MEMORY, LONGEST = 96 << 20, 64
 HEAD = 4  # letters of a token's beginning by which the longest is looked up
-#: What a remembered word costs besides its letters, and each of its tokens.
+#: What a remembered word costs at most besides its letters, and each of its tokens.
 _ENTRY, _TOKEN = 200, 8
+#: Bytes of texts that are cut into words at a time: each word of them is an object of its own meanwhile.
+PIECE = 256 << 10
 # fixed: the published word pattern of this vocabulary family, with Unicode's White_Space for \s
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+def _unpacked(ids: bytes) -> list[int]:
+    return np.frombuffer(ids, dtype=np.int32).tolist()
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable, else the next free one from U+0100."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -76,7 +87,7 @@ class Codec:
     def _forget(self) -> None:
         """Makes the words remembered now the old ones, and forgets the old ones that weren't asked for again."""
         self.old = getattr(self, "known", {})
-        self.known: dict[str, tuple[int, ...]] = {s: (i,) for s, i in self.special.items()}
+        self.known: dict[str, bytes] = {s: _packed([i]) for s, i in self.special.items()}
         self.held = 0
 
     def _merges(self, size: int) -> None:
@@ -152,8 +163,8 @@ class Codec:
             a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
         return fine
 
-    def learn(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The encodings of words (as in the text)."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The encodings of words (as in the text), packed."""
         if not words:
             return []
         spelt = [w.encode().decode("latin-1").translate(self.letters) for w in words]
@@ -166,9 +177,13 @@ class Codec:
         pairs, back = np.unique((flat[border] << 32) | flat[border + 1], return_inverse=True)
         ok = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
         wrong.update(owner[border[~ok]].tolist())
-        return [tuple(self.exact(s) if i in wrong else g) for i, (s, g) in enumerate(zip(spelt, guesses, strict=True))]
+        return [_packed(self.exact(s) if i in wrong else g) for i, (s, g) in enumerate(zip(spelt, guesses, strict=True))]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
+        return [_unpacked(x) for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit numbers."""
         split: list[list[str]] = []
         for text in texts:
             parts = self.cut.split(text) if self.cut and any(x in text for x in self.special) else [text]
@@ -178,16 +193,16 @@ class Codec:
             split.append(words)
         known, old = self.known, self.old
         every = set().union(*split) - known.keys() if split else set()
-        found = {w: old[w] for w in every & old.keys()}
+        found = {w: old.pop(w) for w in every & old.keys()}  # a word is remembered once
         new = list(every - found.keys())
         found.update(zip(new, self.learn(new), strict=True))
         known.update(found)
-        out = [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for word, ids in found.items():
             if len(word) > LONGEST:
                 del known[word]
             else:
-                self.held += _ENTRY + len(word) + _TOKEN * len(ids)
+                self.held += _ENTRY + len(word) + _TOKEN * (len(ids) // 4)
         if self.held > MEMORY // 2:
             self._forget()
         return out
@@ -221,12 +236,12 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         import pyarrow as pa
 
         own = codec(vocabulary)
-        for batch in pieces(batches):
-            ids = own.encode_all(batch.column(0).to_pylist())
+        for batch in pieces(batches, PIECE):
+            ids = own.encode_packed(batch.column(0).to_pylist())
             offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(x) for x in ids], out=offsets[1:])
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(offsets[-1]))
-            decoded = pa.array([own.decode(x) for x in ids], pa.string())
+            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+            flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+            decoded = pa.array([own.decode(_unpacked(x)) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), decoded], [*names, "ids", "decoded"])
 
     return small_batches(rows).mapInArrow(run, f"{kinds}, ids array<int>, decoded string")

@@ -68,6 +68,18 @@ def test_bpe_forgets_and_goes_on(monkeypatch):
         assert [own.encode_all([t])[0] for t in fresh] == want and own.held <= 2000 and len(own.known) + len(own.old) < 40
 
 
+def test_bpe_remembers_a_word_once_and_packed(monkeypatch):
+    from logweave.llm import bpe
+
+    own, fresh = Codec(P.path("byte_bpe_50k.json")), texts()[:60]
+    monkeypatch.setattr(bpe, "MEMORY", 40_000)
+    for _ in range(2):
+        for t in fresh:
+            own.encode_all([t])
+            assert not (own.known.keys() & own.old.keys()) - own.special.keys()
+    assert own.known and all(type(x) is bytes and len(x) % 4 == 0 for x in own.known.values())
+
+
 def test_bpe_pairs_are_compatible_if_merging_gives_them():
     own, rng = Codec(P.path("byte_bpe_50k.json")), np.random.default_rng(2)
     plain = np.array(sorted(own.vocab.values()))
